@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -46,3 +47,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
+
+
+def join_by_frequency(df: DataFrame, lookup: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """df left-joined with a lookup that has one row a key, without a task for each hot key.
+
+    At most `share` keys can hold more than 1/share of df's rows; their lookup rows are broadcast. All others are joined
+    by a shuffle. df and lookup are read more than once, so both should be written tables.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    least = df.count() / share
+    hot = F.broadcast(counts.where((F.col("_n") > least) & (F.col("_n") > 1)).select(key))
+    heavy = F.broadcast(lookup.join(hot, key, "left_semi"))
+    often = df.join(hot, key, "left_semi").join(heavy, key, "left")
+    rest = df.join(hot, key, "left_anti").join(lookup, key, "left")
+    return often.unionByName(rest)

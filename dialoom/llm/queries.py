@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dialoom.llm import chat, decontaminate, language_model, media, neardup, packing, quality, sharding
+from dialoom.llm import chat, decontaminate, html_text, language_model, licenses, media, neardup, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's tree; those whose first line names a licence are licence files."""
+    files = table(spark, sf_dir, "documents").select("doc_id", licenses.document_path().alias("path"), "text")
+    gives = F.contains(F.lower(F.substring_index("text", "\n", 1)), F.lit("licens"))
+    return licenses.scan_licenses(files, keep=("doc_id",), licence_file=gives)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.text_to_media(table(spark, sf_dir, "documents"))
     read = media.decode_media(stored, keep=("doc_id", "n_bytes", "payload_bytes"), pixels=False)
@@ -49,7 +57,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(said.union(forged)))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_media_columns": op2_media_columns,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
@@ -58,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_minhash_near_duplicates": op8_minhash_near_duplicates,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scans": licenses.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }

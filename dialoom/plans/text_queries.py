@@ -92,10 +92,10 @@ def simhash_buckets(spark, sf_dir):
 PAIRED = "a AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3))) AS s, item_id % 4 AS b FROM benchmark)"
 
 
-@REG.query("exact_jaccard_pairs", f"WITH {PAIRED} SELECT x.item_id AS a, y.item_id AS b FROM a x JOIN a y ON x.b = y.b AND x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) >= 0.35 * len(list_distinct(x.s || y.s))")
+@REG.query("exact_jaccard_pairs", f"WITH {PAIRED} SELECT x.item_id AS a, y.item_id AS b FROM a x JOIN a y ON x.b = y.b AND x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) >= 0.2 * len(list_distinct(x.s || y.s))")
 def exact_jaccard_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("bucket"), H.char_shingles("text", 3).alias("set"))
-    return dedup.bucket_pairs(rows, "bucket", "item_id", H.jaccard("set_a", "set_b") >= 0.35, ["set"]).select("a", "b")
+    return dedup.bucket_pairs(rows, "bucket", "item_id", H.jaccard("set_a", "set_b") >= 0.2, ["set"]).select("a", "b")
 
 
 @REG.query("minhash_estimates")

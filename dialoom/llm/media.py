@@ -313,14 +313,14 @@ def invert_predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndar
     if height == 1 or (modes == 0).all() or (modes == 1).all():
         out = rest.copy()
         if height == 1 or (modes == 1).all():  # sums along the rows, and down the first column
-            out[0, 0, 3] += 255
+            out[0, :1, 3] += np.uint8(255)
             out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
             if height > 1:
                 out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
                 out[1:] = np.cumsum(out[1:], axis=1, dtype=np.uint8)
         else:
             out[1:, 1:, 3] += 255
-            out[0, 0, 3] += 255
+            out[0, :1, 3] += np.uint8(255)
             out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
             out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
         return out.reshape(-1, 4).copy().view("<u4")[:, 0].astype(np.uint32)

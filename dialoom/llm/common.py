@@ -1,34 +1,13 @@
-"""Helpers that the training-data operators share."""
+"""Helpers that the training-data operators share. materialise() writes a table to the shared folder and reads it back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="dialoom-"))
-    return _LOCAL_DIR[0]
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dialoom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from dialoom.functions.storage import written as materialise
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,3 +41,13 @@ def join_by_frequency(df: DataFrame, lookup: DataFrame, key: str, share: int = 2
     often = df.join(hot, key, "left_semi").join(heavy, key, "left")
     rest = df.join(hot, key, "left_anti").join(lookup, key, "left")
     return often.unionByName(rest)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
+    """docs without the rows whose id is in `ids` (one column; null matches null).
+
+    Up to `most` ids are broadcast, so that texts aren't shuffled; more are joined by a shuffle.
+    """
+    gone = materialise(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), "gone")
+    few = gone.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

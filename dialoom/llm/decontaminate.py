@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import materialise
+from dialoom.llm.common import drop_ids, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,8 +144,7 @@ def _verdict(rows: DataFrame, id_col: str, share: int) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return drop_ids(docs, contamination(docs, items, id_col, text_col, **options).where("contaminated").select(id_col), id_col)
 
 
 ORACLE = r"""

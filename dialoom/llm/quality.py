@@ -172,15 +172,22 @@ def held_out(id_col: str = "doc_id", fold: int = 1, folds: int = 3) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """id and label of the sample_rows ids outside the fold with the smallest hashes."""
+    usable = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    return usable.groupBy(id_col).agg(F.max("label").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+
+
+def fit_on(stats: DataFrame, sample: DataFrame, id_col: str, sample_rows: int, **fitting) -> Trees:
+    rows = stats.join(F.broadcast(sample), id_col).orderBy(F.xxhash64(id_col), id_col, "stats").limit(sample_rows).collect()
+    return fit_trees(np.array([r.stats for r in rows]).reshape(-1, len(STATISTICS)), np.array([r.label for r in rows], float), **fitting)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **fitting) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; see the module's text."""
     docs = docs.select(id_col, text_col)
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
-    usable = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    # one row an id, the first sample_rows by hash
-    sample = usable.groupBy(id_col).agg(F.max("label").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    rows = stats.join(F.broadcast(sample), id_col).orderBy(F.xxhash64(id_col), id_col, "label").limit(sample_rows).collect()
-    trees = fit_trees(np.array([r.stats for r in rows]).reshape(-1, len(STATISTICS)), np.array([r.label for r in rows], float), **fitting)
+    trees = fit_on(stats, labelled_sample(labels, id_col, label_col, sample_rows), id_col, sample_rows, **fitting)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches):
@@ -194,8 +201,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the classifier predicts to be of quality 1, with all their columns."""
-    scores = quality_scores(docs, labels, id_col, text_col, **options)
-    good = scores.where(F.col("predicted") == 1).select(F.col(id_col).alias("_good")).distinct()
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **fitting) -> DataFrame:
+    """The documents that the same classifier predicts to be of quality 1, with all their columns.
+
+    Only the sample's statistics are gathered; then whole batches of rows are scored and filtered where they lie, so no
+    text is shuffled.
+    """
+    sample = materialise(labelled_sample(labels, id_col, label_col, sample_rows), "sample")
+    few = docs.select(id_col, text_col).join(F.broadcast(sample.select(id_col)), id_col, "left_semi")
+    trees = fit_on(document_statistics(few, id_col, text_col), sample, id_col, sample_rows, **fitting)
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+    at = docs.columns.index(text_col)
+
+    def good(batches):
+        for batch in batches:
+            x = np.array([statistics(t) for t in byte_texts(batch.column(at))]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.value.score(x) >= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -5,10 +5,7 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-DATA = "/root/testdata/sf0.001"
-
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -29,20 +26,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return DATA
+    from checks import DATA
 
-
-def same_rows(spark, sf_dir: str, query, sql: str) -> None:
-    """The query's rows are those of its SQL in DuckDB, whatever their order."""
-    import duckdb
-
-    db = duckdb.connect()
-    for f in os.listdir(sf_dir):
-        db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{f}'")
-    df = query(spark, sf_dir)
-    names = sorted(df.columns)
-    ours = sorted(repr(tuple(r)) for r in df.select(*names).collect())
-    found = db.sql(sql)
-    assert sorted(found.columns) == names
-    theirs = sorted(map(repr, found.select(*(f'"{n}"' for n in names)).fetchall()))
-    assert ours == theirs
+    return DATA

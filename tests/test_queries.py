@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same_rows
+from checks import same_rows
 
 from dialoom.plans import chat_queries, text_queries
 

@@ -1,28 +1,16 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA
+from checks import DATA, same_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dialoom.llm import decontaminate, neardup, packing, quality, queries
 
 
-@pytest.fixture(scope="session")
-def compare():
-    import importlib.util
-    from pathlib import Path
-
-    where = Path(__file__).parents[1] / "conftest.py"
-    spec = importlib.util.spec_from_file_location("base_conftest", where)
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.same_rows
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_query_equals_its_sql(spark, compare, name):
-    compare(spark, DATA, queries.QUERIES[name], queries.ORACLES[name])
+def test_query_equals_its_sql(spark, name):
+    same_rows(spark, DATA, queries.QUERIES[name], queries.ORACLES[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))

@@ -252,3 +252,15 @@ def prompt_queue(prompts: Sequence[str], count: int, seed: int) -> list[str]:
     while len(out) < count:
         out += rng.sample(list(prompts), len(prompts))
     return out[:count]
+
+
+def processed(df: DataFrame, client: LLMClient, pos: str, first: int, last: int, system: str | None = None, messages_col: str = "messages") -> DataFrame:
+    """Lines before `first` as they are, those up to `last` improved, those behind gone. Add `result` and `reason`: null, or why
+    the improved messages were rejected (the line then keeps its own)."""
+    from dialoom.operators.repair import why_invalid, with_system
+    from dialoom.operators.reshape import line_range
+
+    made = improved(line_range(df, pos, first, last), client, messages_col)
+    new = F.col("improved") if system is None else F.when(F.col("improved").isNotNull(), with_system("improved", system))
+    out = made.withColumn("_new", new).withColumn("reason", F.when(F.col("processed"), F.when(F.col("_new").isNull(), "no answer").otherwise(why_invalid("_new"))))
+    return out.withColumn("result", F.when(F.col("processed") & F.col("reason").isNull(), F.col("_new")).otherwise(F.col(messages_col))).drop("_new", "improved", "processed")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import hashing as H
 from dialoom.functions import text as T
 from dialoom.functions.turns import nest
-from dialoom.operators import dedup, filters, joins, ngrams, plugins, repair, reshape, stats, vectors
+from dialoom.operators import dedup, filters, images, joins, ngrams, plugins, repair, reshape, stats, vectors
 from dialoom.plans.base import Registry, table
 from dialoom.sources import scan, sinks
 from dialoom.streaming import dedup as stream
@@ -346,3 +346,16 @@ def first_seen_stream(spark, sf_dir):
 
 def checkpoint_dir(spark) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dialoom-")
+
+
+@REG.query("harvest_reasons", f"WITH p AS (SELECT page_id, url, html, page_id % 7 * 100 AS w FROM pages), s AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), t AS (SELECT *, {TAGLESS} AS t FROM p) SELECT page_id, CASE WHEN url IN (SELECT url FROM s) THEN 'seen' WHEN w < 300 THEN 'too_small' WHEN NOT contains(t, 'tion') THEN 'terms' ELSE 'kept' END AS reason FROM t")
+def harvest_reasons(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("width", F.col("page_id") % 7 * 100).withColumn("height", F.col("width"))
+    return images.harvest_verdicts(pages, pages.where("page_id % 3 = 0"), ["tion"], [], 300, 300, text="html").select("page_id", "reason")
+
+
+@REG.query("processed_entries")
+def processed_entries(spark, sf_dir):
+    m = nest(table(spark, sf_dir, "conversations")).select("conv_id", repair.to_messages("turns").alias("messages"))
+    client = plugins.ScriptedClient(['[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]'])
+    return plugins.processed(reshape.numbered(m, "conv_id"), client, "_pos", 3, 50, "Be kind.").select("conv_id", "result", "reason")

@@ -276,3 +276,52 @@ def test_plugins(spark):
     assert repair.balanced("none", "[", "]") is None
     v = spark.createDataFrame([("abc",)], "t string").select(plugins.embed(F.col("t"), plugins.hashed_embedder()).alias("v")).first().v
     assert abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+def png(pixels, kind=2, how=(0, 1, 2, 3, 4)):
+    """A PNG of rows x columns x channels, its rows filtered in turn by each of the methods."""
+    import zlib
+
+    h, w, c = len(pixels), len(pixels[0]), len(pixels[0][0])
+    flat, lines = [[v for p in row for v in p] for row in pixels], b""
+    for y, row in enumerate(flat):
+        f = how[y % len(how)]
+        above = flat[y - 1] if y else [0] * (w * c)
+        out = []
+        for x, v in enumerate(row):
+            a, b, d = row[x - c] if x >= c else 0, above[x], above[x - c] if x >= c else 0
+            p = a + b - d
+            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+            out.append((v - (0, a, b, (a + b) // 2, nearest)[f]) & 255)
+        lines += bytes([f, *out])
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_png_and_difference_hash(spark):
+    import random
+
+    from dialoom.operators import images
+
+    rng = random.Random(1)
+    picture = [[[rng.randrange(256) for _ in range(3)] for _ in range(27)] for _ in range(16)]
+    assert images.decode_png(png(picture)).tolist() == picture
+    rising = [[[10 * x] * 3 for x in range(18)] for _ in range(16)]
+    df = spark.createDataFrame([(1, png(rising)), (2, png([row[::-1] for row in rising])), (3, b"no"), (4, None), (5, png(rising, how=(0,)))], "i int, content binary")
+    rows = {r.i: r.d for r in df.select("i", images.described("content").alias("d")).collect()}
+    assert (rows[1].dhash, rows[1].width, rows[1].height) == (-1, 18, 16) and rows[2].dhash == 0
+    assert rows[3].dhash is None and rows[4].dhash is None
+    same = df.select(F.col("i").cast("long").alias("i"), images.described("content").dhash.alias("code")).where("code is not null")
+    assert [tuple(r) for r in dedup.perceptual_duplicates(same, "i", "code").collect()] == [(1, 5)]
+
+
+def test_processed_lines(spark):
+    m = spark.createDataFrame([(k, [("user", "a"), ("assistant", "b")]) for k in range(4)], f"_pos int, messages {repair.MESSAGES}")
+    good = plugins.ScriptedClient(['[{"role":"user","content":"c"},{"role":"assistant","content":"d"}]'])
+    rows = plugins.processed(m, good, "_pos", 2, 3, "S").orderBy("_pos").collect()
+    assert [[x.content for x in r.result] for r in rows] == [["a", "b"], ["S", "c", "d"], ["S", "c", "d"]]
+    bad = plugins.ScriptedClient(["no"])
+    assert [r.reason for r in plugins.processed(m, bad, "_pos", 2, 3).orderBy("_pos").collect()] == [None, "no answer", "no answer"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dialoom.functions.text import strip
 from dialoom.functions.turns import TURNS, turn
@@ -39,19 +40,10 @@ def row_format(doc: str = "_doc") -> Column:
 
 def detect_format(df: DataFrame, group: str, order: str, sample: int = 5, doc: str = "_doc") -> DataFrame:
     """group and format: the first of its first `sample` rows that shows a format decides; else unknown."""
-    rows = df.select(group, order, row_format(doc).alias("f"))
-    firsts = rows.groupBy(group).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, "f"))), 1, sample).alias("s")) if sample > 100 else None
-    if firsts is None:
-        ranked = rows.withColumn("rn", F.row_number().over(_by(group, order))).where(F.col("rn") <= sample)
-        firsts = ranked.groupBy(group).agg(F.min_by(F.col("f"), F.when(F.col("f").isNotNull(), F.col("rn"))).alias("format"))
-        return firsts.select(group, F.coalesce("format", F.lit("unknown")).alias("format"))
-    return firsts.select(group, F.coalesce(F.filter(F.transform("s", lambda x: x["f"]), lambda f: f.isNotNull())[0], F.lit("unknown")).alias("format"))
-
-
-def _by(group: str, order: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(group).orderBy(order)
+    first = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    ranked = df.select(group, row_format(doc).alias("f"), first.alias("rn")).where(F.col("rn") <= sample)
+    verdict = ranked.groupBy(group).agg(F.min_by(F.col("f"), F.when(F.col("f").isNotNull(), F.col("rn"))).alias("format"))
+    return verdict.select(group, F.coalesce("format", F.lit("unknown")).alias("format"))
 
 
 def plain_role(role: Column) -> Column:

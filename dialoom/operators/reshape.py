@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoom.functions.storage import written
+
 
 def numbered(df: DataFrame, *order: str, name: str = "_pos") -> DataFrame:
     """A gapless number from 0 along the order, from a range partitioning and a count for each partition, so that no task
-    sorts the whole."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorts the whole. The dealt rows are written once: both uses must see the same partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = written(dealt, "numbered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("_part").agg((F.max("_in") + 1).alias("_n"))  # a row for each partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions import hashing as H
+from dialoom.functions import storage
 from dialoom.functions import text as T
 from dialoom.functions.turns import nest
 from dialoom.operators import dedup, filters, images, joins, ngrams, plugins, repair, reshape, stats, vectors
@@ -339,15 +338,11 @@ def first_seen_stream(spark, sf_dir):
     seen = stream.first_seen(rows.select(H.content_key("text").alias("sha")), "sha")
     name = f"first_seen_{abs(hash(sf_dir)) % 10**9}"
     spark.catalog.dropTempView(name)
-    query = seen.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}-{spark.range(1).select(F.uuid()).first()[0]}").trigger(availableNow=True).start()
+    query = seen.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{storage.shared_dir(spark)}/{name}-{spark.range(1).select(F.uuid()).first()[0]}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
 
-def checkpoint_dir(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dialoom-")
-
-
 @REG.query("harvest_reasons", f"WITH p AS (SELECT page_id, url, html, page_id % 7 * 100 AS w FROM pages), s AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), t AS (SELECT *, {TAGLESS} AS t FROM p) SELECT page_id, CASE WHEN url IN (SELECT url FROM s) THEN 'seen' WHEN w < 300 THEN 'too_small' WHEN NOT contains(t, 'tion') THEN 'terms' ELSE 'kept' END AS reason FROM t")
 def harvest_reasons(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("width", F.col("page_id") % 7 * 100).withColumn("height", F.col("width"))

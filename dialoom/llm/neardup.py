@@ -5,10 +5,10 @@ one class, represented by their smallest id. Each class gets a sketch of `bins`
 borrow from bins chosen by a 2-universal hash of (bin, attempt). Bands of `rows` bins make bucket keys.
 
 Within a bucket only stars are tried: every member against a hub, so candidates grow with the members, not their square.
-The first hub is the member that shares most buckets with others (in a family of edited copies, the original). Links are
-confirmed on full sets. Buckets that still hold several components lose the hubs they have tried and get new ones, until
-the untried pairs are fewer than `pairs_per_member` for each member; these are then tried one by one. So each pair that
-shares a bucket is tried unless it is connected already, and no bucket is capped.
+The hub is the member that shares most buckets with others (in a family of edited copies, the original). Links are confirmed
+on full sets. Members of buckets that still hold several components are finished exactly: a prefix-filtered join over their
+shingles, ordered from rare to frequent, tries every pair of different components that could reach the threshold. No bucket
+is capped.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a row without id is linked with
 nothing, has no component and is kept; rows with one id are one node; an empty table gives an empty one; further columns are
@@ -18,7 +18,6 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, materialise, mix64
+from dialoom.llm.common import byte_texts, drop_ids, materialise, mix64
 
 KNOWN_WORDS = 300_000
 
@@ -149,20 +148,61 @@ def components(links: DataFrame, tag: str = "labels") -> DataFrame:
     Every round takes the least label among neighbours and then the label of that label, until none changes.
     """
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), tag)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     while True:
+        labels = materialise(labels, tag)
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node").select("node", F.least("component", "near").alias("least"), "component")
-        least = materialise(least, tag)
-        onward = least.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        moved = least.join(onward, "least", "left").select("node", F.least("least", F.coalesce("next", "least")).alias("component"), (F.least("least", F.coalesce("next", "least")) != F.col("component")).alias("changed"))
+        onward = labels.select(F.col("node").alias("least"), F.col("component").alias("next"))
+        moved = least.join(onward, "least", "left").select("node", F.least("least", F.coalesce("next", "least")).alias("new"), "component")
         moved = materialise(moved, tag)
-        labels = moved.select("node", "component")
-        if not moved.where("changed").limit(1).count():
+        labels = moved.select("node", F.col("new").alias("component"))
+        if not moved.where("new != component").limit(1).count():
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, hubs: int = 4, pairs_per_member: int = 2) -> DataFrame:
+def hash_rows(sets: DataFrame) -> DataFrame:
+    """rep and hash, a row for each shingle of each set."""
+    kind = dict(sets.dtypes)["id"]
+
+    def spread(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["rep", "hash"])
+
+    return sets.select("id", "hashes").mapInArrow(spread, f"rep {kind}, hash long")
+
+
+def least_overlap(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    """The smallest intersection with which sets of n and m reach the threshold."""
+    return F.floor((percent * (n + m) + (99 + percent)) / F.lit(100 + percent))
+
+
+def rest_by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, other): all pairs of different components among the members (rep, n, component, smallest) that could be linked.
+
+    With shingles ordered from rare to frequent, two sets that reach the threshold share one among the first n - overlap + 1
+    of each. `smallest` bounds the partner's size. Shingles whose members are of one component join nothing.
+    """
+    rows = hash_rows(sets.join(members.select(F.col("rep").alias("id")), "id", "left_semi")).distinct()
+    rows = materialise(rows, "rest-shingles")
+    often = rows.groupBy("hash").agg(F.count("*").alias("df"))
+    ordered = rows.join(often, "hash").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("order"))
+    prefix = F.col("n") - least_overlap(F.col("n"), F.greatest("smallest", F.ceil(F.col("n") * percent / 100)), percent) + 1
+    cut = members.join(ordered, "rep").select("rep", "n", "component", F.posexplode(F.slice("order", 1, F.greatest(prefix, F.lit(1)).cast("int"))).alias("at", "o"))
+    cut = materialise(cut.select("rep", "n", "component", "at", F.col("o.hash").alias("hash")), "rest-prefixes")
+    mixed = cut.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("hash")
+    few = materialise(cut.join(mixed, "hash", "left_semi"), "rest-mixed")
+    other = few.select("hash", F.struct("rep", "n", "component", "at").alias("o"))
+    overlap = least_overlap(F.col("n"), F.col("o.n"), percent)
+    fits = (F.col("rep") < F.col("o.rep")) & (F.col("component") != F.col("o.component")) & (F.col("at") + overlap <= F.col("n")) & (F.col("o.at") + overlap <= F.col("o.n"))
+    return few.join(other, "hash").where(fits).select("rep", F.col("o.rep").alias("other"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> DataFrame:
     """id, n_shingles, component_id and kept for each row; see the module's text."""
     docs = materialise(signatures(df, id_col, text_col, words, bins, rows), "signatures")
     classes = docs.where(F.col("set_key").isNotNull() & F.col("id").isNotNull()).groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("c"))
@@ -173,56 +213,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranks = materialise(members.groupBy("rep").agg(F.sum("size").alias("rank")), "ranks")
     sets = full_sets(df.where(F.col(id_col).isNotNull()).join(ranks.select(F.col("rep").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
     sets = materialise(sets.dropDuplicates(["id", "hashes"]), "sets")
-    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-
-    tried: list[DataFrame] = []
-    links: list[DataFrame] = []
-    found: DataFrame | None = None
-
-    def attempt(edges: DataFrame, size: int) -> bool:
-        """Confirm the edges that are new; say whether any is."""
-        nonlocal found
-        new = edges.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tried:
-            new = new.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        new = materialise(new, f"tried-{size}")
-        tried.append(new)
-        links.append(materialise(confirmed(new, sets, percent), f"links-{size}"))
-        if not links[-1].limit(1).count():
-            return False
-        found = components(reduce(DataFrame.union, links))
-        return True
-
-    members = members.join(ranks, "rep").withColumn("component", F.col("rep"))
-    step = 0
-    while True:
-        if step == 0:
-            picks = members.groupBy("key").agg(F.array(F.min(F.struct((-F.col("rank")).alias("r"), "rep", "n", "component"))).alias("hubs"))
-        else:
-            order = [F.min(F.struct(F.xxhash64(F.lit(step * hubs + k), "key", "rep").alias("r"), "rep", "n", "component")) for k in range(hubs)]
-            picks = members.groupBy("key").agg(F.array(*order).alias("hubs"))
-        picks = materialise(picks.select("key", F.array_distinct(F.transform("hubs", lambda h: F.struct(h["rep"].alias("rep"), h["n"].alias("n"), h["component"].alias("component")))).alias("hubs")), f"hubs-{step}")
-        spread = members.join(picks, "key").select("key", "rep", "n", "component", F.explode("hubs").alias("hub"))
-        attempt(spread.where((F.col("rep") != F.col("hub.rep")) & (F.col("component") != F.col("hub.component")) & fits).select("rep", F.col("hub.rep").alias("other")), step)
-        used = picks.select("key", F.explode("hubs.rep").alias("rep"))
-        left = members.drop("component").join(used, ["key", "rep"], "left_anti")
-        left = left.withColumn("component", F.col("rep")) if found is None else left.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        left = materialise(left.select("key", "rep", "n", "rank", "component"), f"left-{step}")
-        open_keys = left.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within")).where("all * all > within")
-        open_keys = materialise(open_keys, f"open-{step}")
-        rows_left, pairs = open_keys.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()
-        if not rows_left:
-            break
-        members = materialise(left.join(open_keys.select("key"), "key", "left_semi"), f"members-{step}")
-        if pairs <= pairs_per_member * rows_left or pairs < 10_000:
-            other = members.select("key", F.struct("rep", "n", "component").alias("hub"))
-            attempt(members.join(other, "key").where((F.col("rep") < F.col("hub.rep")) & (F.col("component") != F.col("hub.component")) & fits).select("rep", F.col("hub.rep").alias("other")), step + 1)
-            break
-        step += 1
-
-    of_class = classes.select("set_key", F.col("rep").alias("component"))
-    if found is not None:
-        of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+
+    # stars: every member against the one that shares most buckets with others
+    members = members.join(ranks, "rep")
+    hubs = members.groupBy("key").agg(F.min(F.struct((-F.col("rank")).alias("r"), "rep", "n")).alias("hub"))
+    near = (F.col("rep") != F.col("hub.rep")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    stars = members.join(hubs, "key").where(near).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    links = materialise(confirmed(stars, sets, percent), "links-stars")
+    found = materialise(components(links), "found")
+
+    # buckets that still hold several components
+    placed = members.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialise(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("smallest")).where("low != high").select("key", "smallest")
+    rest = placed.join(mixed, "key").groupBy("rep").agg(F.min("n").alias("n"), F.min("component").alias("component"), F.min("smallest").alias("smallest"))
+    pairs = rest_by_prefix(materialise(rest, "rest"), sets, percent)
+    more = materialise(confirmed(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct(), sets, percent), "links-rest")
+    if more.limit(1).count():
+        found = materialise(components(links.union(more)), "found")
+
+    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = docs.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -230,10 +240,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with all its columns; of rows that share an id and are kept, one."""
-    found = near_duplicates(df, id_col, text_col, **options)
-    kept = materialise(found.where("kept").groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_times")), "kept")
-    out = df.join(kept.select("_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where("_times > 1 and _kept is not null").limit(1).count():
-        named = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        return named.unionByName(out.where(F.col(id_col).isNull()))
+    found = materialise(near_duplicates(df, id_col, text_col, **options), "found")
+    out = drop_ids(df, found.where("not kept").select(id_col), id_col)
+    repeated = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1")
+    if repeated.limit(1).count():
+        return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
     return out

@@ -172,16 +172,16 @@ def test_components_are_those_of_all_pairs(spark, percent):
     assert all(r.kept == (i == r.component_id) for i, r in found.items())
 
 
-def test_a_chain_of_hubs_ends(spark):
-    """A family whose members share buckets without being linked takes several rounds of hubs, and the pairs at last."""
+def test_families_without_their_original(spark):
+    """Members share buckets without being linked to the hub; the exact remainder finds all links between them."""
     rng = random.Random(5)
-    base = [f"w{k}" for k in range(120)]
-    rows = list(enumerate(edited(base, rng, 3) for _ in range(40)))
-    old, neardup.FEW_PAIRS = neardup.FEW_PAIRS, 0
-    try:
-        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows), percent=85, pairs_per_member=1).collect()}
-    finally:
-        neardup.FEW_PAIRS = old
+    rows = []
+    for family in range(4):
+        base = [f"w{family}x{k}" for k in range(120)]
+        rows += [edited(base, rng, 3) for _ in range(40)]
+        rows += [edited(rows[-1].split(), rng, 1) for _ in range(8)]
+    rows = list(enumerate(rows))
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows), percent=85).collect()}
     assert found == expected_components(rows, 85)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.functions.storage import written as materialise
@@ -43,11 +43,17 @@ def join_by_frequency(df: DataFrame, lookup: DataFrame, key: str, share: int = 2
     return often.unionByName(rest)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
-    """docs without the rows whose id is in `ids` (one column; null matches null).
+def text_key(text_col: str) -> Column:
+    """A digest that stands for the text; null for null."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
 
-    Up to `most` ids are broadcast, so that texts aren't shuffled; more are joined by a shuffle.
+
+def drop_rows(docs: DataFrame, gone: DataFrame, keys: list[Column], most: int = 500_000) -> DataFrame:
+    """docs without the rows whose keys are a row of `gone` (its columns in the order of the keys; null matches null).
+
+    Up to `most` rows are broadcast, so that texts aren't shuffled; more are joined by a shuffle.
     """
-    gone = materialise(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), "gone")
+    gone = materialise(gone.toDF(*(f"_gone{k}" for k in range(len(keys)))).distinct(), "gone")
     few = gone.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    same = [key.eqNullSafe(F.col(f"_gone{k}")) for k, key in enumerate(keys)]
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

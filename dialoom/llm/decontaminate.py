@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import drop_ids, materialise
+from dialoom.llm.common import drop_rows, materialise, text_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,8 +143,10 @@ def _verdict(rows: DataFrame, id_col: str, share: int) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    return drop_ids(docs, contamination(docs, items, id_col, text_col, **options).where("contaminated").select(id_col), id_col)
+    """The documents that aren't contaminated, with all their columns. Texts decide, not ids, which may be null or repeated."""
+    texts = docs.select(text_key(text_col).alias("_said"), F.col(text_col).alias("_text"))
+    found = contamination(texts, items, "_said", "_text", **options)
+    return drop_rows(docs, found.where("contaminated").select("_said"), [text_key(text_col)])
 
 
 ORACLE = r"""

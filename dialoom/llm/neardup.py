@@ -1,7 +1,7 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates.
 
 A document's set holds its distinct shingles of `words` words (64-bit hashes; a shorter text is one shingle). Equal sets are
-one class, represented by their smallest id. Each class gets a sketch of `bins` minima from one permutation; empty bins
+one class, read from the row of its smallest id. Each class gets a sketch of `bins` minima from one permutation; empty bins
 borrow from bins chosen by a 2-universal hash of (bin, attempt). Bands of `rows` bins make bucket keys.
 
 Within a bucket only stars are tried: every member against a hub, so candidates grow with the members, not their square.
@@ -11,8 +11,8 @@ shingles, ordered from rare to frequent, tries every pair of different component
 is capped.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a row without id is linked with
-nothing, has no component and is kept; rows with one id are one node; an empty table gives an empty one; further columns are
-ignored.
+nothing, has no component and is kept; rows with one id are judged each by its own text; a component is named by its smallest
+id; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, drop_ids, materialise, mix64
+from dialoom.llm.common import byte_texts, drop_rows, join_by_frequency, materialise, mix64, text_key
 
 KNOWN_WORDS = 300_000
 
@@ -57,6 +57,11 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def key_of(hashes: np.ndarray | bytes) -> bytes:
+    """The digest of a set's sorted hashes."""
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
 class Sketcher:
     """One-permutation MinHash with optimal densification."""
 
@@ -94,7 +99,7 @@ class Sketcher:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bins: int = 128, rows: int = 4) -> DataFrame:
-    """id, n_shingles, set_key (digest of the set; null when empty) and bands of each document."""
+    """id, n_shingles, set_key (digest of the set; null when empty), bands and said (digest of the text) of each document."""
 
     def sketch(batches):
         sketcher = Sketcher(bins, rows)
@@ -103,23 +108,24 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             for text in byte_texts(batch.column(1)):
                 own = shingles(text, words)
                 counts.append(len(own))
-                keys.append(hashlib.blake2b(own, digest_size=16).digest() if len(own) else None)
+                keys.append(key_of(own) if len(own) else None)
                 bands.append(sketcher.bands(own).view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)], names=["id", "n_shingles", "set_key", "bands", "said"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(sketch, f"id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return df.select(F.col(id_col), F.col(text_col), text_key(text_col)).mapInArrow(sketch, f"id {kind}, n_shingles long, set_key binary, bands array<long>, said binary")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id and the sorted hashes of its set, eight bytes each."""
+    """id, the sorted hashes of its set, eight bytes each, and set_key."""
 
     def make(batches):
         for batch in batches:
             sets = [shingles(x, words).tobytes() for x in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            keys = pa.array(map(key_of, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), keys], names=["id", "hashes", "set_key"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(make, f"id {dict(df.dtypes)[id_col]}, hashes binary")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(make, f"id {dict(df.dtypes)[id_col]}, hashes binary, set_key binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,17 +208,19 @@ def rest_by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return few.join(other, "hash").where(fits).select("rep", F.col("o.rep").alias("other"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> DataFrame:
-    """id, n_shingles, component_id and kept for each row; see the module's text."""
+def grouped(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 80, bins: int = 128, rows: int = 4) -> DataFrame:
+    """id, said, n_shingles, group, component_id and kept for each row. Groups are components by number, also where ids repeat."""
     docs = materialise(signatures(df, id_col, text_col, words, bins, rows), "signatures")
     classes = docs.where(F.col("set_key").isNotNull() & F.col("id").isNotNull()).groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("c"))
-    classes = materialise(classes.select("set_key", F.col("c.id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.bands").alias("bands")), "classes")
+    classes = materialise(classes.select("set_key", F.monotonically_increasing_id().alias("rep"), F.col("c.id").alias("first"), F.col("c.n_shingles").alias("n"), F.col("c.bands").alias("bands")), "classes")
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(keyed.join(shared, "key").select("key", "rep", "n", "size"), "members")
     ranks = materialise(members.groupBy("rep").agg(F.sum("size").alias("rank")), "ranks")
-    sets = full_sets(df.where(F.col(id_col).isNotNull()).join(ranks.select(F.col("rep").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
-    sets = materialise(sets.dropDuplicates(["id", "hashes"]), "sets")
+    wanted = materialise(classes.join(ranks, "rep", "left_semi").select("rep", F.col("first").alias("id"), "set_key"), "wanted")
+    sets = full_sets(df.where(F.col(id_col).isNotNull()).join(wanted.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
+    sets = sets.join(wanted, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
+    sets = materialise(sets.select(F.col("rep").alias("id"), "hashes"), "sets")
 
     # stars: every member against the one that shares most buckets with others
     members = members.join(ranks, "rep")
@@ -232,17 +240,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if more.limit(1).count():
         found = materialise(components(links.union(more)), "found")
 
-    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = docs.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    linked = materialise(found.withColumnRenamed("node", "rep").join(classes.select("rep", "first"), "rep"), "linked")
+    lowest = materialise(linked.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
+    named = join_by_frequency(linked, lowest, "component").select("rep", "component", "lowest")
+    of_class = classes.join(named, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group"), F.coalesce("lowest", "first").alias("lowest"))
+    out = docs.select("id", "said", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    has_id = F.col("id").isNotNull()
+    component = F.when(has_id, F.coalesce("lowest", "id"))
+    return out.select("id", "said", "n_shingles", F.when(has_id, F.col("group")).alias("group"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, n_shingles, component_id and kept for each row; see the module's text."""
+    return grouped(df, id_col, text_col, **options).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, with all its columns; of rows that share an id and are kept, one."""
-    found = materialise(near_duplicates(df, id_col, text_col, **options), "found")
-    out = drop_ids(df, found.where("not kept").select(id_col), id_col)
-    repeated = found.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1")
-    if repeated.limit(1).count():
-        return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
-    return out
+    """One document of each group, with all its columns; of rows that are kept and share their id and text, one.
+
+    Rows go by id and text, so that rows with the same id don't take each other along.
+    """
+    found = materialise(grouped(df, id_col, text_col, **options), "found")
+    kept = found.where("kept and id is not null")
+    # near copies with one id: the smallest digest stays
+    doubled = kept.where("group is not null").groupBy("group").agg(F.min("said").alias("stays"), F.max("said").alias("last")).where("stays != last").select("group", "stays")
+    more = kept.join(doubled, "group").where("said != stays")
+    keys = [F.col(id_col), text_key(text_col)]
+    out = drop_rows(df, found.where("not kept").select("id", "said").union(more.select("id", "said")), keys)
+    repeated = kept.groupBy("id", "said").agg(F.count("*").alias("times")).where("times > 1").select(F.col("id").alias("_id"), F.col("said").alias("_said"))
+    repeated = materialise(repeated, "repeated")
+    if not repeated.limit(1).count():
+        return out
+    same = [key.eqNullSafe(F.col(name)) for key, name in zip(keys, repeated.columns, strict=True)]
+    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -197,6 +197,17 @@ def test_near_duplicate_edges(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, None, 7, 8])
 
 
+def test_rows_with_one_id_go_by_their_texts(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [*base[:-1], "end"]
+    copy, unique = "a copied text of some words", "a unique text that stands alone"
+    texts = [(3, copy), (5, copy), (5, unique), (8, " ".join(base)), (8, " ".join(near)), (8, "quite other words here"), (9, "quite  other words here"), (10, "twice"), (10, "twice"), (11, None), (11, None), (11, "not null")]
+    kept = neardup.keep_one(documents(spark, texts)).collect()
+    found = Counter((r.doc_id, r.text) for r in kept)
+    assert sum(found.pop((8, " ".join(x)), 0) for x in (base, near)) == 1
+    assert found == Counter([(3, copy), (5, unique), (8, "quite other words here"), (10, "twice"), (11, None), (11, "not null")])
+
+
 def test_sketches_estimate_jaccard():
     rng = np.random.default_rng(4)
     sketcher = neardup.Sketcher(128, 1)
@@ -233,6 +244,13 @@ def test_contamination_cases(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3, 6, 8, 9]
 
 
+def test_one_contaminated_row_takes_no_others_along(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    texts = [(None, ITEM), (None, "clean without id"), (None, None), (5, ITEM), (5, "clean with the same id"), (6, "x " + ITEM), (7, "clean")]
+    kept = decontaminate.keep_clean(documents(spark, texts), items).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, "clean without id"), (None, None), (5, "clean with the same id"), (7, "clean")])
+
+
 # Chat
 
 

@@ -348,6 +348,27 @@ def test_a_group_larger_than_a_shard(spark):
     check_law(rows, 1000, 40)
 
 
+@pytest.mark.parametrize("sizes", [[60, 40, 100, 25, 2, 3, 2], [100] * 6 + [51] * 6 + [7] * 9, [3, 5, 2, 2]])
+def test_groups_that_fit_a_shard_stay_whole(spark, sizes):
+    texts = [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)]
+    quota = 100 if max(sizes) > 5 else 5
+    texts = list(enumerate(texts + [f"alone {k}" for k in range(20 * quota - len(texts))]))
+    random.Random(2).shuffle(texts)
+    rows = sharding.shard_documents(documents(spark, texts), shards=20).collect()
+    check_law(rows, len(texts), 20)
+    of = defaultdict(set)
+    for r in rows:
+        of[dict(texts)[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in of.values())
+
+
+def test_a_group_beyond_a_shard_takes_no_more_than_it_needs(spark):
+    texts = [(k, "same") for k in range(250)] + [(k, f"t{k}") for k in range(250, 2000)]
+    rows = sharding.shard_documents(documents(spark, texts), shards=20).collect()
+    check_law(rows, 2000, 20)
+    assert len({r.shard for r in rows if r.doc_id < 250}) == 3
+
+
 def test_sharding_edges(spark):
     rows = sharding.shard_documents(documents(spark, EDGES)).collect()
     check_law(rows, len(EDGES), 40)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -53,18 +54,25 @@ def projected_out(vector: Column | str, along: Column | str) -> Column:
 
 def null_space(df: DataFrame, group: str, vector: str, share: float = 0.01) -> DataFrame:
     """group, dim and row of the projector I - V V^T on what the group's vectors don't span. A group is one layer's samples;
-    only its d x d Gram matrix is formed."""
+    each task forms d x d Gram matrices of its rows, and only those are shuffled."""
 
-    def project(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, d = None, 0
+    def squared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams: dict[Any, np.ndarray] = {}
         for frame in frames:
-            x = np.stack(frame["v"].to_numpy()).astype(float)
-            d = x.shape[1]
-            gram = x.T @ x if gram is None else gram + x.T @ x
+            for key, part in frame.groupby("g", dropna=False):
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                grams[key] = grams[key] + x.T @ x if key in grams else x.T @ x
+        if grams:
+            yield pd.DataFrame({"g": list(grams), "gram": [x.ravel() for x in grams.values()]})
+
+    def project(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram = sum(x for frame in frames for x in frame["gram"])
+        d = math.isqrt(len(gram))
+        gram = gram.reshape(d, d)
         values, vectors = np.linalg.eigh(gram)
         kept = vectors[:, np.sqrt(np.maximum(values, 0)) > share * np.sqrt(max(values.max(), 0))]
         projector = np.eye(d) - kept @ kept.T
         yield pd.DataFrame({"g": [key[0]] * d, "dim": range(d), "row": projector.tolist()})
 
     kind = dict(df.dtypes)[group]
-    return df.select(F.col(group).alias("g"), F.col(vector).alias("v")).groupBy("g").applyInPandas(project, f"g {kind}, dim int, row array<double>").withColumnRenamed("g", group)
+    return df.select(F.col(group).alias("g"), F.col(vector).alias("v")).mapInPandas(squared, f"g {kind}, gram array<double>").groupBy("g").applyInPandas(project, f"g {kind}, dim int, row array<double>").withColumnRenamed("g", group)

@@ -319,7 +319,7 @@ def mean_direction(spark, sf_dir):
 
 @REG.query("null_space_projector")
 def null_space_projector(spark, sf_dir):
-    return vectors.null_space(table(spark, sf_dir, "embeddings").where("vec_id % 40 = 0").withColumn("layer", F.lit(0)), "layer", "embedding")
+    return vectors.null_space(table(spark, sf_dir, "embeddings").withColumn("layer", F.lit(0)), "layer", "embedding")
 
 
 @REG.query("nan_to_null", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events")

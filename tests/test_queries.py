@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from checks import same_rows
 
@@ -19,6 +20,21 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert ALL[name](spark, sf_dir).count() >= 0
 
 
+def test_projector_is_that_of_all_vectors(spark, sf_dir):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect()], float)
+    values, spanned = np.linalg.eigh(x.T @ x)
+    kept = spanned[:, np.sqrt(np.maximum(values, 0)) > 0.01 * np.sqrt(values.max())]
+    rows = sorted(ALL["null_space_projector"](spark, sf_dir).collect(), key=lambda r: r.dim)
+    assert np.allclose([r.row for r in rows], np.eye(x.shape[1]) - kept @ kept.T)
+
+
+def test_formats_are_read_from_all_turns(spark, tmp_path):
+    rows = [(0, 3, "user", "a"), (4, 0, "user", "b"), (4, 5, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = ALL["detect_format"](spark, str(tmp_path)).collect()
+    assert {r.conv_id: r.format for r in found} == {0: "sharegpt", 4: "chatml"}
+
+
 def test_entry(spark):
     import __spark_entry__
 

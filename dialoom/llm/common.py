@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,21 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose text or binary column holds about most_bytes, or a single row that is larger: what a
+    worker holds at a time doesn't grow with the rows a batch has."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
+        number = np.cumsum(sizes) // most_bytes
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), n]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if end > first:
+                yield batch.slice(first, end - first)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """MurmurHash3's 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))

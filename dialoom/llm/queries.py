@@ -23,8 +23,8 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.text_to_media(table(spark, sf_dir, "documents"))
-    read = media.decode_media(stored, keep=("doc_id", "n_bytes", "payload_bytes"), pixels=False)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    read = media.decode_media(stored, keep=("doc_id", "n_bytes", "payload_bytes"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "pixels", "method", "error")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

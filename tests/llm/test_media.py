@@ -85,3 +85,75 @@ def test_column_operators(spark):
     assert media.text_to_media(df.limit(0)).count() == 0
     broken = spark.createDataFrame([(b"no",), (None,)], "media binary")
     assert [r.error for r in media.decode_media(broken).collect()] == ["no WebP file", "null"]
+
+
+def reports(texts):
+    """The parts of the format by which each text is stored."""
+    found = []
+    for text in texts:
+        payload, met = media.padded(text.encode()), set()
+        assert media.samples_of(media.decode(media.encode_samples(payload), met)[2])[: len(payload)].tobytes() == payload
+        found.append(met)
+    return found
+
+
+def tinted(seed, share, n=3000):
+    """Pixels whose red and blue go with their green."""
+    rng = random.Random(seed)
+    return "".join(chr(g) + "".join(chr(int(g * x) + rng.randrange(3)) for x in share) + rng.choice("xyz") for g in rng.choices(range(8, 120), k=n))
+
+
+GREY, TINTED = tinted(1, (1, 1)), tinted(2, (0.5, 0.25))
+def walk(seed, n=3000):
+    """Pixels each of whose samples differs by one at most from that before."""
+    rng, now, out = random.Random(seed), [70] * 4, []
+    for _ in range(n):
+        now = [min(126, max(33, x + rng.choice((-1, 0, 0, 1)))) for x in now]
+        out += now
+    return bytes(out).decode()
+
+
+STEPS = walk(6)
+FEW = "".join(random.Random(3).choices(["abcd", "efgh", "ijkl", "mnop", "qrst"], k=3000))
+OFTEN = "".join(random.Random(7 * k).choice([f"{random.Random(k % 40).randrange(1000, 10000)}", "".join(random.Random(k).choices("abcdefghijklmnop", k=4))]) for k in range(6000))
+PROSE = " ".join(random.Random(4).choices([f"word{k}" for k in range(50)], k=4000))
+
+
+def test_streams_hold_each_part_where_it_shortens_them():
+    assert "green" in reports([GREY])[0]
+    assert "cross-colour" in reports([TINTED])[0]
+    assert "predictor" in reports([STEPS])[0]
+    assert "palette" in reports([FEW])[0]
+    assert {"prefix codes", "back-references"} <= reports([PROSE + PROSE])[0]
+    assert "cache" in reports([OFTEN])[0]
+
+
+def test_the_query_reads_such_streams_and_writes_pixels(spark, tmp_path):
+    from dialoom.llm import queries
+
+    texts = [GREY, TINTED, STEPS, FEW, PROSE + PROSE, OFTEN, "", None, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.QUERIES["op2_media_columns"](spark, str(tmp_path)).collect()}
+    met = set()
+    for k, text in enumerate(texts):
+        payload, r = media.padded((text or "").encode()), rows[k]
+        argb = np.frombuffer(r.pixels, "<u4")
+        assert media.samples_of(argb)[: len(payload)].tobytes() == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), None)
+        met |= set(r.method.split(", "))
+    assert {"prefix codes", "back-references", "cache", "palette", "predictor", "cross-colour", "green"} <= met
+
+
+def test_both_readers_agree():
+    """The reader that follows one chain of tokens gives what the one for streams with an entropy image gives."""
+    for text in (GREY, TINTED, STEPS, FEW, PROSE, OFTEN):
+        pixels = media.decode(media.encode_samples(media.padded(text.encode())))[2].tolist()[:400]
+        for groups in (False, True):
+            assert media.decode(webp_writer.encode(pixels, 20, (), seed=3, cache_bits=5, groups=groups))[2].tolist() == pixels
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 0xFF000000, 0xFF0A0A0A, 0x80402010, 0xFFFFFFFF]), min_size=1, max_size=300), st.integers(1, 20))
+def test_images_round_trip(pixels, width):
+    pixels = pixels[: max(1, len(pixels) // width) * width] if len(pixels) >= width else pixels[:1] * width
+    assert media.decode(media.encode_image(np.array(pixels, np.uint32), width))[2].tolist() == pixels

@@ -5,14 +5,16 @@ all words of a shorter one. A document word inside any occurrence of a window is
 
 Each window is the ordered set of its shingles (`shingle` words, or the whole window if shorter). An occurrence holds all of
 them, so the prefix to join is one shingle: the rarest in the corpus. Steps:
-  1. one scan of the documents keeps, for each, the positions whose shingle hash occurs in the benchmark, each with the words
-     around it (written to the shared folder; everything after reads only that);
+  1. one scan of the documents makes a row for each word position, in generated code and without a shuffle, and keeps those
+     whose shingle hash is one of the benchmark's, with the words around it (written to the shared folder; everything after
+     reads only that);
   2. shingle frequencies over all documents order each window's shingles by rarity; windows with a shingle that occurs
      nowhere are done with;
   3. the rarest shingle of each window is joined with the kept positions; start and end must lie in the document (length and
      positional bounds), and the words there must equal the window's.
-Up to `literal_shingles` benchmark shingles are tested inside the scan, and `literal_windows` windows are broadcast; larger
-benchmarks take a shuffled join on the shingle hash instead, with the same result.
+The benchmark is the stated query set: its hashes and its windows are broadcast in blocks of at most `block_shingles` hashes
+(16 bytes each) and `block_windows` windows, one pass for each block, so a benchmark of any size takes the same path in the
+same memory, and no position that isn't kept is ever shuffled.
 
 Defined results: null or empty texts have no words and are clean; an item without words has no window; repeated rows each get
 a row, repeated items count once by id (a null id counts as the empty string); empty tables give empty results; of further
@@ -46,9 +48,10 @@ def shingle_at(words: Column, start: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *(F.get(words, start + k) for k in range(size)))
 
 
-def shingles_at(words: Column, starts: Column, size: int, name: str = "at") -> Column:
-    """(name, hash) of the shingles of `size` words at the starts."""
-    return F.transform(starts, lambda i: F.struct(i.cast("int").alias(name), shingle_at(words, i.cast("int"), size).alias("hash")))
+def in_blocks(table: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """The table in parts of about `most` rows, dealt by the hash of a key."""
+    n = -(-table.count() // most)
+    return [table] if n <= 1 else [table.where(F.pmod(F.xxhash64(F.lit(n), key), F.lit(n)) == k) for k in range(n)]
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -65,47 +68,42 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     for k in range(1, shingle + 1):
         some = windows.where(F.col("size") == k if k < shingle else F.col("size") >= k)
         offsets = F.sequence(F.lit(0), F.greatest(F.col("size") - k, F.lit(0)))
-        at = F.explode(shingles_at(F.col("words"), offsets, k, "offset"))
-        families.append(some.select("item", "words", "size", F.lit(k).alias("k"), at.alias("s")).select("item", "words", "size", "k", "s.offset", "s.hash"))
+        at = some.select("item", "words", "size", F.lit(k).alias("k"), F.explode(offsets).alias("offset"))
+        families.append(at.withColumn("hash", shingle_at(F.col("words"), F.col("offset"), k)))
     out = families[0]
     for x in families[1:]:
         out = out.union(x)
     return out
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], window: int, wanted: list[int]) -> DataFrame:
-    """id, n_words and hits of each document: positions of shingles that are wanted, with their surroundings."""
-
-    def family(words: Column, k: int) -> Column:
-        # fewer words than k make one shingle with nulls, which is none
-        every = shingles_at(words, F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), k)
-        return F.filter(every, lambda x: (F.size(words) >= k) & x["hash"].isin(wanted))
-
-    def hits(words: Column) -> Column:
-        found = [family(words, k) for k in sizes]
-        together = F.concat(*found) if len(found) > 1 else found[0]
-        first = lambda x: F.greatest(x["at"] - (window - 1), F.lit(0))
-        return F.transform(together, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), first(x).alias("first"), F.slice(words, first(x) + 1, 2 * window - 1).alias("around")))
-
-    both = let(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), hits(w).alias("hits")))
-    return docs.select(F.col(id_col).alias("id"), both.alias("b")).select(F.monotonically_increasing_id().alias("row"), "id", "b.n_words", "b.hits")
+def scan(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], window: int, wanted: DataFrame) -> DataFrame:
+    """row, id, n_words, at, hash, first and around of the positions whose shingle hash is wanted (a broadcast column of
+    distinct hashes), and a row at -1 for each document."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    rows = rows.select("row", "id", "words", F.size("words").alias("n_words"))
+    places = rows.select("row", "id", "words", "n_words", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - min(sizes), F.lit(-1)))).alias("at"))
+    hashes = [F.when((F.col("at") >= 0) & (F.col("at") + k <= F.col("n_words")), shingle_at(F.col("words"), F.col("at"), k)) for k in sizes]
+    if len(hashes) == 1:
+        tried = places.withColumn("hash", hashes[0])
+    else:  # shorter shingles too; the document's own row is there once
+        tried = places.select("*", F.explode(F.when(F.col("at") < 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(*hashes))).alias("hash"))
+    found = tried.join(F.broadcast(wanted.select(F.col("hash").alias("wanted"))), F.col("hash") == F.col("wanted"), "left").where("at < 0 or wanted is not null")
+    first = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    around = F.when(F.col("at") >= 0, F.slice("words", first + 1, 2 * window - 1))
+    return found.select("row", "id", F.col("n_words").cast("long").alias("n_words"), "at", "hash", first.alias("first"), around.alias("around"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = 5, share: int = 20, literal_shingles: int = 20_000, literal_windows: int = 50_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = 5, share: int = 20, block_shingles: int = 1 << 22, block_windows: int = 100_000) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words) of each document."""
     parts = materialise(window_shingles(benchmark_windows(items, item_col, item_text_col, window), shingle), "windows")
-    hashes = parts.select("hash").distinct()
-    sizes = sorted(r.k for r in parts.select("k").distinct().collect())  # at most `shingle` of them
-    small = hashes.limit(literal_shingles + 1).count() <= literal_shingles and parts.where("offset = 0").limit(literal_windows + 1).count() <= literal_windows
-    if not sizes:
-        rows = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-        return _verdict(rows.withColumn("n_hit", F.lit(0)).withColumn("items", F.array().cast("array<string>")), id_col, share)
-    if small:
-        scanned = materialise(scan(docs, id_col, text_col, sizes, window, [r.hash for r in hashes.collect()]), "hits")
-        each = scanned.select("row", "n_words", F.explode("hits").alias("h")).select("row", "n_words", "h.*")
-    else:
-        scanned = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long")), "words")
-        each = materialise(_shuffled_hits(scanned, hashes, sizes, window), "hits")
+    hashes = materialise(parts.select("hash").distinct(), "hashes")
+    sizes = sorted(r.k for r in parts.select("k").distinct().collect()) or [shingle]  # at most `shingle` of them
+    passes = [scan(docs, id_col, text_col, sizes, window, block) for block in in_blocks(hashes, "hash", block_shingles)]
+    scanned = passes[0]
+    for more in passes[1:]:
+        scanned = scanned.union(more.where("at >= 0"))
+    scanned = materialise(scanned, "hits")
+    each = scanned.where("at >= 0").select("row", "n_words", "at", "hash", "first", "around")
     seen = each.groupBy("hash").agg(F.count("*").alias("times"))
     key = ["item", "words", "size"]
     ranked = parts.join(seen, "hash", "left").groupBy(*key).agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "hash")).alias("rarest"))
@@ -114,28 +112,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     start = F.col("at") - F.col("offset")
     within = (start >= F.col("first")) & (start + F.col("size") <= F.col("n_words"))
     equal = F.slice("around", F.greatest(start - F.col("first") + 1, F.lit(1)), F.col("size")) == F.col("words")
-    occurs = each.join(F.broadcast(anchors) if small else anchors, "hash").where(within & equal)
-    spans = occurs.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    occurs = None
+    for block in in_blocks(anchors, "words", block_windows):
+        some = each.join(F.broadcast(block), "hash").where(within & equal).select("row", start.alias("start"), "size", "items")
+        occurs = some if occurs is None else occurs.union(some)
+    spans = occurs.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
     spans = spans.select("row", F.size(F.array_distinct(covered)).alias("n_hit"), "items")
-    rows = scanned.select("row", "id", "n_words").join(spans, "row", "left")
+    rows = scanned.where("at < 0").select("row", "id", "n_words").join(spans, "row", "left")
     return _verdict(rows, id_col, share)
 
 
-def _shuffled_hits(scanned: DataFrame, hashes: DataFrame, sizes: list[int], window: int) -> DataFrame:
-    """The hits of a benchmark too large for literals: candidate positions by a join on the hash, then their surroundings."""
-    found = []
-    for k in sizes:
-        at = F.explode(shingles_at(F.col("words"), F.sequence(F.lit(0), F.col("n_words") - k), k))
-        found.append(scanned.where(F.col("n_words") >= k).select("row", at.alias("h")).select("row", "h.*"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    wanted = every.join(hashes, "hash", "left_semi")
-    first = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    return wanted.join(scanned, "row").select("row", "n_words", "at", "hash", first.alias("first"), F.slice("words", first + 1, 2 * window - 1).alias("around"))
-
-
 def _verdict(rows: DataFrame, id_col: str, share: int) -> DataFrame:
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))

@@ -231,8 +231,8 @@ def test_contamination_cases(spark):
         (6, " ".join(words[:12])), (7, "alpha, BETA! " + "z " * 37), (8, "alpha beta " + "z " * 39), (None, ITEM), (9, LONG), (10, " ".join(words[1:14]) + " alpha"),
     ]
     expected = {1: (0, 0, 0, False), 2: (0, 0, 0, False), 3: (80, 0, 0, False), 4: (16, 16, 1, True), 5: (73, 13, 1, True), 6: (12, 0, 0, False), 7: (39, 2, 1, True), 8: (41, 2, 1, False), None: (16, 16, 1, True), 9: (60_000, 0, 0, False), 10: (14, 13, 1, True)}
-    for literals in (20_000, 0):  # both ways to find the shingles
-        rows = decontaminate.contamination(documents(spark, texts), items, literal_shingles=literals).collect()
+    for blocks in ({}, {"block_shingles": 5, "block_windows": 2}):  # in one pass, and in many
+        rows = decontaminate.contamination(documents(spark, texts), items, **blocks).collect()
         assert len(rows) == len(texts)
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows} == expected
         assert {r.items_sha256 for r in rows if r.doc_id in (4, 7)} == {hashlib.sha256(b"1").hexdigest(), hashlib.sha256(b"2").hexdigest()}

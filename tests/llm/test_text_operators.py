@@ -296,21 +296,99 @@ def test_language_model_edges(spark):
     assert language_model.score_documents(documents(spark, [])).count() == 0
 
 
-def test_language_model_is_a_distribution_and_learns():
-    rng = random.Random(1)
-    texts = [language_model.tokens(" ".join(rng.choice([["aa", "bb"], ["cc", "dd"]])[k % 2] for k in range(30)).encode()) for _ in range(200)]
+def fitted(texts, sizes=language_model.Sizes(64, 16, 1024), rounds=2):
+    """The model of a list of texts, without Spark."""
+    texts = [language_model.tokens(x.encode()) for x in texts]
     counts = Counter(w for x in texts for w in x)
-    model = language_model.start_model(sorted(counts.items(), key=lambda x: (-x[1], x[0])), sum(counts.values()), len(counts), classes=4)
-    learner = language_model.Learner(model, 0.6)
-    learner.learn(*language_model.laid_out(texts, model.ids()), True)
-    model = learner.model
-    model.word_logs = language_model.fit_words(model, learner.pairs)
-    places, real = language_model.laid_out(texts[:3], model.ids())
-    p = language_model.class_probabilities(model, language_model.feature_rows(places, real))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    for c in range(4):
-        own = np.exp(model.word_logs[model.class_of == c])
-        assert len(own) == 0 or np.allclose(own.sum(axis=0), 1, atol=1e-4)
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: sizes.vocabulary]
+    rest = [[0, 0] for _ in range(sizes.buckets)]
+    for w, c in counts.items():
+        if w not in dict(head):
+            rest[language_model.word_hash(w) % sizes.buckets][0] += c
+            rest[language_model.word_hash(w) % sizes.buckets][1] += 1
+    model = language_model.start_model(head, rest, sum(counts.values()), len(counts), sizes.rows)
+    seen = None
+    for _ in range(rounds):
+        tally = language_model.Tally(model)
+        tally.add(*language_model.laid_out(texts, model.ids()))
+        if seen is None:
+            seen = [x.reshape(-1, language_model.WIDE).astype(float) for x in tally.seen]
+            language_model.updated(model, seen, None)
+        else:
+            language_model.updated(model, seen, [x.T / language_model.STEP for x in tally.expected])
+    return model, counts
+
+
+def walked(model, counts, text):
+    """The score of a text, step by step down the tree, from the model's weights."""
+    of, leaves = {}, {}
+    for k, w in enumerate(model.words):
+        of[w] = leaves[w] = k
+    n = len(model.words)
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        return (h ^ h >> 33) >> 32
+
+    total, before = 0.0, [mask, mask]  # two starting marks
+    for w in language_model.tokens(text.encode()):
+        own = of.get(w, n + language_model.word_hash(w) % language_model.RARE_CONTEXTS)
+        leaf = leaves.get(w, n + language_model.word_hash(w) % len(model.bucket_logs))
+        one, two = before[-1], before[-2]
+        hashes = [mix(one), mix((one * 0x9E3779B97F4A7C15 + two) & mask), mix((two + (1 << 40)) & mask)]
+        for place in range(model.first[leaf], model.first[leaf] + model.steps[leaf]):
+            node = model.node[place]
+            logits = [float(model.base[node, j]) + sum(float(m[model.offset[node] + (h & int(model.mask[node])), j]) for m, h in zip(model.weights, hashes, strict=True)) for j in range(language_model.WIDE)]
+            total += logits[model.child[place]] - math.log(sum(map(math.exp, logits)))
+        if w not in of:
+            total += math.log(counts[w] + 0.5) - float(model.bucket_logs[leaf - n])
+        before.append(own)
+    return total / math.log(10)
+
+
+def test_every_class_is_a_distribution_and_the_word_itself_is_learnt():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice([["aa", "bb"], ["cc", "dd"]])[k % 2] for k in range(30)) + f" x{rng.randrange(500)}" for _ in range(300)]
+    model, counts = fitted(texts)
+    places, real = language_model.laid_out([language_model.tokens(x.encode()) for x in texts[:3]], model.ids())
+    logs = language_model.log_probabilities(model, places, real)
+    assert len(logs) == len(real) and (logs < 0).all()
+    # all leaves after one history add up to 1, and the two words that follow half the time each take most of it
+    every = len(model.words) + len(model.bucket_logs)
+    history = [model.ids()[b"bb"], model.ids()[b"aa"]]
+    after = np.array([[-1, *history, leaf] for leaf in range(every)], np.int64)
+    p = np.exp(language_model.log_probabilities(model, after.ravel(), np.arange(every) * 4 + 3))
+    assert np.isclose(p.sum(), 1, atol=1e-4)
+    assert p[model.ids()[b"bb"]] > 0.4 and p[model.ids()[b"dd"]] > 0.4 and p[model.ids()[b"aa"]] < 0.05
+
+
+def test_scores_are_those_of_a_plain_walk(spark):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 4000, 40)]
+    rows = list(enumerate(texts))
+    training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    model, counts = fitted(training, language_model.Sizes(1 << 20, 16, 1024))
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.score for r in language_model.score_documents(docs.repartition(3), sizes=language_model.Sizes(1 << 20, 16, 1024)).collect()}
+    for i, t in rows:
+        assert math.isclose(found[i], walked(model, counts, t), rel_tol=1e-4)
+    # with buckets; the fit doesn't depend on how rows fall into tasks
+    sizes = language_model.Sizes(64, 16, 1024)
+    few = [{r.doc_id: r.score for r in language_model.score_documents(docs.repartition(n), sizes=sizes).collect()} for n in (1, 7)]
+    assert few[0] == pytest.approx(few[1], rel=1e-6)
+    assert sum(found.values()) > sum(few[0].values())
+
+
+def test_head_words_are_the_most_frequent_and_ties_are_cut(spark):
+    counts = spark.createDataFrame([(f"a{k}".encode(), 1000 + k) for k in range(50)] + [(f"b{k}".encode(), 1) for k in range(3000)], "word binary, c long")
+    head = language_model.head_words(counts, 1050).collect()
+    assert {bytes(r.word) for r in head if r.c > 1} == {f"a{k}".encode() for k in range(50)}
+    assert 900 < sum(r.c == 1 for r in head) < 1100
 
 
 def test_model_beats_the_base_on_held_out_text(spark):

@@ -374,12 +374,12 @@ def test_scores_are_those_of_a_plain_walk(spark):
     training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     model, counts = fitted(training, language_model.Sizes(1 << 20, 16, 1024))
     docs = documents(spark, rows)
-    found = {r.doc_id: r.score for r in language_model.score_documents(docs.repartition(3), sizes=language_model.Sizes(1 << 20, 16, 1024)).collect()}
+    found = {r.doc_id: r.score for r in language_model.score_documents(docs.repartition(3), rounds=2, sizes=language_model.Sizes(1 << 20, 16, 1024)).collect()}
     for i, t in rows:
         assert math.isclose(found[i], walked(model, counts, t), rel_tol=1e-4)
     # with buckets; the fit doesn't depend on how rows fall into tasks
     sizes = language_model.Sizes(64, 16, 1024)
-    few = [{r.doc_id: r.score for r in language_model.score_documents(docs.repartition(n), sizes=sizes).collect()} for n in (1, 7)]
+    few = [{r.doc_id: r.score for r in language_model.score_documents(docs.repartition(n), rounds=2, sizes=sizes).collect()} for n in (1, 7)]
     assert few[0] == pytest.approx(few[1], rel=1e-6)
     assert sum(found.values()) > sum(few[0].values())
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialoom.functions.storage import written as materialise
 
@@ -37,6 +40,30 @@ def sliced(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 1 <
                 yield batch.slice(first, end - first)
 
 
+ROWS_TO_PYTHON = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _freed() -> None:
+    """Give memory that a worker no longer uses back to the system: workers wait for their next task for a minute."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def on_texts(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, most: int = 1000) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows with whole texts: batches have at most `most` rows from now on in this session, as
+    both the executor and its Python workers hold a batch as a whole, and a worker gives its memory back after a task."""
+    now = int(df.sparkSession.conf.get(ROWS_TO_PYTHON))
+    if now <= 0 or now > most:
+        df.sparkSession.conf.set(ROWS_TO_PYTHON, str(most))
+
+    def guarded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _freed()
+
+    return df.mapInArrow(guarded, schema)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """MurmurHash3's 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))

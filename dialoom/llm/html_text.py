@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm.common import on_texts, sliced
+
 # Fixed values of HTML: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -350,10 +352,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     kind = dict(pages.dtypes)[id_col]
 
     def extract(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                texts = [render(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, "text", "n_chars"])
+        for part in sliced(batches, 1):
+            texts = [render(x or "") for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, "text", "n_chars"])
 
-    return pages.select(F.col(id_col), F.col(html_col)).mapInArrow(extract, f"`{id_col}` {kind}, text string, n_chars long")
+    return on_texts(pages.select(F.col(id_col), F.col(html_col)), extract, f"`{id_col}` {kind}, text string, n_chars long")

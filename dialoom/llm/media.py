@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, sliced
+from dialoom.llm.common import byte_texts, on_texts, sliced
 
 # Fixed values of the format: the order in which code length code lengths are stored.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -1065,7 +1065,7 @@ def text_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=[id_col, "n_bytes", "payload_bytes", "media"],
             )
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(store, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, media binary")
+    return on_texts(df.select(F.col(id_col), F.col(text_col)), store, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, media binary")
 
 
 def decode_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
@@ -1100,4 +1100,4 @@ def decode_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...]
             made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], names=names)
 
-    return df.select(*(F.col(k) for k in keep), F.col(media_col)).mapInArrow(read, schema)
+    return on_texts(df.select(*(F.col(k) for k in keep), F.col(media_col)), read, schema)

@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, drop_rows, join_by_frequency, materialise, mix64, text_key
+from dialoom.llm.common import byte_texts, drop_rows, join_by_frequency, materialise, mix64, on_texts, sliced, text_key
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 class _Words(dict):
@@ -103,7 +103,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     def sketch(batches):
         sketcher = Sketcher(bins, rows)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             counts, keys, bands = [], [], []
             for text in byte_texts(batch.column(1)):
                 own = shingles(text, words)
@@ -113,19 +113,19 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)], names=["id", "n_shingles", "set_key", "bands", "said"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text_col), text_key(text_col)).mapInArrow(sketch, f"id {kind}, n_shingles long, set_key binary, bands array<long>, said binary")
+    return on_texts(df.select(F.col(id_col), F.col(text_col), text_key(text_col)), sketch, f"id {kind}, n_shingles long, set_key binary, bands array<long>, said binary")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """id, the sorted hashes of its set, eight bytes each, and set_key."""
 
     def make(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = [shingles(x, words).tobytes() for x in byte_texts(batch.column(1))]
             keys = pa.array(map(key_of, sets), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), keys], names=["id", "hashes", "set_key"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(make, f"id {dict(df.dtypes)[id_col]}, hashes binary, set_key binary")
+    return on_texts(df.select(F.col(id_col), F.col(text_col)), make, f"id {dict(df.dtypes)[id_col]}, hashes binary, set_key binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +135,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b"))
 
     def compare(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -145,7 +145,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, f"a {kind}, b {kind}")
+    return on_texts(edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b"), compare, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame, tag: str = "labels") -> DataFrame:
@@ -172,14 +172,12 @@ def hash_rows(sets: DataFrame) -> DataFrame:
     kind = dict(sets.dtypes)["id"]
 
     def spread(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["rep", "hash"])
-
-    return sets.select("id", "hashes").mapInArrow(spread, f"rep {kind}, hash long")
+        for part in sliced(batches, 1, 1 << 20):
+            own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["rep", "hash"])
+
+    return on_texts(sets.select("id", "hashes"), spread, f"rep {kind}, hash long")
 
 
 def least_overlap(n: F.Column, m: F.Column, percent: int) -> F.Column:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import shuffle_partitions, sliced
+from dialoom.llm.common import on_texts, shuffle_partitions, sliced
 
 DEFAULT_VOCABULARY = "byte_bpe_50k"
 
@@ -88,7 +88,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     schema = f"`{id_col}` {kind}, document long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
-    return df.select(F.col(id_col), F.monotonically_increasing_id(), F.col(text_col)).mapInArrow(cut, schema)
+    return on_texts(df.select(F.col(id_col), F.monotonically_increasing_id(), F.col(text_col)), cut, schema)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialoom.llm.common import byte_texts, materialise
+from dialoom.llm.common import byte_texts, materialise, on_texts, sliced
 
 STATISTICS = [
     "bytes", "words", "lines", "upper", "digit", "space", "newline", "punctuation", "symbol", "high", "control", "pipe",
@@ -76,11 +76,11 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: its id and `stats`, an array of doubles."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = [statistics(x) for x in byte_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "stats"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(compute, f"`{id_col}` {dict(df.dtypes)[id_col]}, stats array<double>")
+    return on_texts(df.select(F.col(id_col), F.col(text_col)), compute, f"`{id_col}` {dict(df.dtypes)[id_col]}, stats array<double>")
 
 
 @dataclass
@@ -214,8 +214,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def good(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             x = np.array([statistics(t) for t in byte_texts(batch.column(at))]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.score(x) >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return on_texts(docs, good, docs.schema)

@@ -27,7 +27,7 @@ def test_pipeline_is_its_stages(spark):
     labels, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
     good = quality.quality_scores(docs, labels).where("predicted = 1").select("doc_id")
     left = docs.join(good, "doc_id", "left_semi").select(docs.columns)
-    left = left.join(neardup.near_duplicates(left, percent=85).where("kept").select("doc_id"), "doc_id", "left_semi")
+    left = left.join(neardup.near_duplicates(left).where("kept").select("doc_id"), "doc_id", "left_semi")
     left = left.join(decontaminate.contamination(left, items).where("not contaminated").select("doc_id"), "doc_id", "left_semi")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     expected = sorted(map(tuple, packing.token_pieces(left).select(columns).collect()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value written once in the plan and computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without leading and trailing Unicode white space."""
     return F.regexp_replace(col(x), rf"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -45,8 +50,8 @@ def ascii_scrub(x: Column | str) -> Column:
 
 # The ranges of letters that count as unwanted.
 UNWANTED_RANGES = [
-    (0x00C0, 0x00FF), (0x0100, 0x017F), (0x0400, 0x04FF), (0x0370, 0x03FF),
-    (0x0590, 0x05FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x4E00, 0x9FFF),
+    (0x00C0, 0x017F), (0x0400, 0x04FF), (0x0370, 0x03FF), (0x0590, 0x05FF),
+    (0x0600, 0x06FF), (0x0900, 0x097F), (0x4E00, 0x9FFF),
 ]
 UNWANTED_CLASS = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in UNWANTED_RANGES) + "]"
 
@@ -94,10 +99,26 @@ def image_extension(url: Column | str) -> Column:
     return F.when(low.isin(".jpg", ".jpeg", ".png", ".webp", ".gif"), low).otherwise(".jpg")
 
 
-def fuzzy_ratio(a: Column | str, b: Column | str) -> Column:
-    """0 to 100: insertions and deletions against the joint length, counted as a levenshtein distance."""
-    longest = F.length(col(a)) + F.length(col(b))
-    return F.when(longest == 0, 100).otherwise(F.round(100 * (longest - F.levenshtein(col(a), col(b))) / longest).cast("int"))
+def common_subsequence(text: Column | str, word: str) -> Column:
+    """The length of the longest common subsequence of a text and a fixed short word: one row of the table, kept as an array
+    while the text's characters go by."""
+    each = F.filter(F.split(col(text), ""), lambda c: c != "")
+    n = len(word)
+
+    def step(row: Column, c: Column) -> Column:
+        out = [F.lit(0)]
+        for k in range(1, n + 1):
+            out.append(F.when(c == word[k - 1], F.get(row, F.lit(k - 1)) + 1).otherwise(F.greatest(F.get(row, F.lit(k)), out[-1])))
+        return F.array(*out)
+
+    return F.aggregate(each, F.array(*[F.lit(0)] * (n + 1)), step, lambda row: F.get(row, F.lit(n)))
+
+
+def fuzzy_ratio(text: Column | str, word: str) -> Column:
+    """0 to 100: twice the longest common subsequence against the joint length, i.e. what insertions and deletions leave.
+    Texts over three times as long as the word can't reach 50 and count as 0."""
+    joint = F.length(col(text)) + len(word)
+    return F.when(F.length(col(text)) > 3 * len(word), 0).otherwise(F.round(200 * common_subsequence(text, word) / joint).cast("int"))
 
 
 def word_tokens(x: Column | str, punctuation: bool = True) -> Column:

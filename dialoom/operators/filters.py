@@ -110,14 +110,53 @@ def large_enough(width: Column | str, height: Column | str, least_width: int, le
     return (F.coalesce(col(width), F.lit(0)) >= least_width) & (F.coalesce(col(height), F.lit(0)) >= least_height)
 
 
-# Replies that give a generation up.
-REFUSALS = ["Upon further reflection", "I can't engage", "I cannot", "I can't assist", "As an AI"]
+# Phrases at which a generation is given up, and those at which it is tried again.
+REFUSALS = ["Upon further reflection", "I can't engage"]
+FORCED_RETRIES = ["shivers down"]
 
 
 def matches_any(text: Column | str, patterns: Sequence[str]) -> Column:
     return F.coalesce(col(text).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)) if patterns else F.lit(False)
 
 
+def generation_verdict(text: Column | str, refusals: Sequence[str] = REFUSALS, retries: Sequence[str] = FORCED_RETRIES) -> Column:
+    """refused, retry or kept, as the text holds one of the phrases; refusals come first."""
+    return F.when(matches_any(text, refusals), "refused").when(matches_any(text, retries), "retry").otherwise("kept")
+
+
+def encodable(text: Column | str) -> Column:
+    """Whether a text can be stored as UTF-8: Spark's strings always can, so it is true wherever there is a text."""
+    return F.when(col(text).isNotNull(), F.lit(True))
+
+
+# The levels of image requests, from strict to open.
+NSFW_LEVELS = ["None", "Soft", "Mature", "X"]
+
+
+def requested(df: DataFrame, level: str | None = None, since: str | None = None, sort: Sequence[Column] = (), level_col: str = "nsfwLevel", time_col: str = "createdAt") -> DataFrame:
+    """What a request with these parameters returns: rows of at most this level, not before this time, in this order."""
+    out = df
+    if level is not None:
+        out = out.where(F.col(level_col).isin(NSFW_LEVELS[: NSFW_LEVELS.index(level) + 1]))
+    if since is not None:
+        out = out.where(F.col(time_col) >= F.lit(since).cast(dict(df.dtypes)[time_col]))
+    return out.orderBy(*sort) if sort else out
+
+
+def refusal_share(df: DataFrame, scores: DataFrame, id_col: str, threshold: float = 0.75, keep_refusals: bool = False) -> DataFrame:
+    """id, n, n_positive, n_negative and kept, of sentences with two scores (pos, neg), counted where they exceed the threshold.
+
+    keep_refusals keeps rows with a positive sentence; else rows without one are kept, and the two scores change their
+    places, as the model's classes do between the modes.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold lies between 0 and 1")
+    pos, neg = ("pos", "neg") if keep_refusals else ("neg", "pos")
+    each = scores.groupBy(id_col).agg(F.count("*").alias("n"), F.count_if(F.col(pos) > threshold).alias("n_positive"), F.count_if(F.col(neg) > threshold).alias("n_negative"))
+    out = df.select(id_col).join(each, id_col, "left").na.fill(0, ["n", "n_positive", "n_negative"])
+    return out.withColumn("kept", F.col("n_positive") > 0 if keep_refusals else F.col("n_positive") == 0)
+
+
 def fits_request(width: Column | str, height: Column | str, size: Column | str, most_side: int = 2048, most_base64: int = 20 * 1024 * 1024) -> Column:
     """Scaled width and height for a request, and whether its base64 form is small enough."""
     scale = F.least(F.lit(1.0), F.lit(float(most_side)) / F.greatest(col(width), col(height)))

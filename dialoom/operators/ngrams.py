@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,14 +12,25 @@ from pyspark.sql.window import Window
 
 from dialoom.functions.text import collapse, word_tokens
 
-# Stop words of the n-gram filter.
-STOPWORDS = "a an and are as at be but by for from had has have he her his i in is it its me my not of on or she so that the their them they this to was we were what which who will with you your".split()
+# The English stop words of the n-gram filter, and five that are added.
+STOPWORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's
+her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is
+are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for
+with about against between into through during before after above below to from up down in out on off over under again further
+then once here there when where why how all any both each few more most other some such no nor not only own same so than too
+very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't
+hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't
+wasn wasn't weren weren't won won't wouldn wouldn't
+said ask tell response question
+""".split()
 PUNCTUATION = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def prepared(text: Column) -> Column:
-    """Curly quotes straightened, then every run of quotes as one double quote, white space collapsed."""
-    plain = F.regexp_replace(F.translate(text, "‘’“”`", "''\"\"'"), "['\"]+", '"')
+    """Curly apostrophes and backticks straightened, then every run of straight quotes as one double quote, white space
+    collapsed. No contraction is left to expand then."""
+    plain = F.regexp_replace(F.translate(text, "‘’`", "'''"), "['\"]+", '"')
     return collapse(plain)
 
 
@@ -35,6 +47,13 @@ def ngrams(df: DataFrame, order: str, text: str, least: int = 3, most: int = 5,
     return grams.where((held(STOPWORDS) <= stop_limit) & (held(PUNCTUATION) <= punct_limit)).select("n", "ngram", F.struct("o", "place").alias("pos"))
 
 
+def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: str = "_pos") -> DataFrame:
+    """o (conversation and turn, in order) and text of the turns of these roles, whatever their case; all without roles."""
+    each = df.select(F.col(order).alias("c"), F.posexplode(turns).alias("k", "t")).where("t.value is not null")
+    wanted = F.lit(True) if roles is None else F.coalesce(F.lower("t.from"), F.lit("")).isin([r.lower() for r in roles])
+    return each.where(wanted).select(F.struct("c", "k").alias("o"), F.col("t.value").alias("text"))
+
+
 def top_ngrams(grams: DataFrame, k: int = 10) -> DataFrame:
     """n, ngram, cnt and rank; ties go to the first to appear."""
     counted = grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos"))
@@ -43,21 +62,38 @@ def top_ngrams(grams: DataFrame, k: int = 10) -> DataFrame:
 
 
 def with_recency(grams: DataFrame, window: int = 50, threshold: float = 0.85) -> DataFrame:
-    """Occurrences that resemble none of the last `window` kept of the same n. One ordered fold for each n: use it on
-    samples, and plain counts on large data."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        last: deque[frozenset] = deque(maxlen=window)
-        keep = []
-        frame = frame.sort_values(["o", "place"])
-        for g in frame["ngram"]:
-            s = frozenset(g)
-            fresh = all(len(s & x) / max(1, len(s | x)) < threshold for x in last)
-            keep.append(fresh)
-            if fresh:
-                last.append(s)
-        return frame[keep]
+    """Occurrences that resemble none of the last `window` kept of the same n.
+
+    What is kept depends on all that was kept before, so each n is one ordered walk. Its rows come from Spark's own sort in
+    batches, and only the window is held, so memory doesn't grow with the data; time does. Different sets of n words have a
+    likeness of (n - 1) / n at most; where the threshold lies above, equal sets are all that counts.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[int, deque[frozenset]] = {}
+        held: dict[int, Counter[frozenset]] = {}
+        for frame in frames:
+            keep = []
+            for n, g in zip(frame["n"], frame["ngram"], strict=True):
+                s = frozenset(g)
+                row, own = last.setdefault(n, deque()), held.setdefault(n, Counter())
+                if threshold > (n - 1) / n:
+                    fresh = not own[s]
+                else:
+                    fresh = all(len(s & x) / max(1, len(s | x)) < threshold for x in row)
+                keep.append(fresh)
+                if fresh:
+                    row.append(s)
+                    own[s] += 1
+                    if len(row) > window:
+                        gone = row.popleft()
+                        own[gone] -= 1
+                        if not own[gone]:
+                            del own[gone]
+                elif not own[s]:
+                    del own[s]
+            yield frame[keep]
 
     flat = grams.select("n", "ngram", "pos.o", "pos.place")
-    kept = flat.groupBy("n").applyInPandas(fold, flat.schema)
-    return kept.select("n", "ngram", F.struct("o", "place").alias("pos"))
+    sorted_rows = flat.repartition("n").sortWithinPartitions("n", "o", "place")
+    return sorted_rows.mapInPandas(walk, flat.schema).select("n", "ngram", F.struct("o", "place").alias("pos"))

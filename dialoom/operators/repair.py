@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from dialoom.functions.text import col, strip
+from dialoom.functions.text import col, let, strip
 from dialoom.functions.turns import CANONICAL, MESSAGE, map_role, turn
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -30,42 +30,60 @@ def to_messages(turns: Column | str) -> Column:
 
 def why_invalid(messages: Column | str) -> Column:
     """The first thing that is wrong, or null."""
-    m = col(messages)
-    lead = F.when(F.get(m, F.lit(0))["role"] == "system", 1).otherwise(0)
-    n = F.size(m)
-    place = lambda i: F.concat(F.lit("Message "), i.cast("string"))
-    shape = F.transform(m, lambda x, i: F.when(x["role"].isNull(), F.concat(place(i), F.lit(" has no role"))).when(x["content"].isNull(), F.concat(place(i), F.lit(" has no content"))).when(~x["role"].isin("system", "user", "assistant"), F.concat(place(i), F.lit(" has an invalid role"))))
-    turn_of = lambda i: F.when((i - lead) % 2 == 0, "user").otherwise("assistant")
-    order = F.transform(m, lambda x, i: F.when((i == 0) & (lead == 1), F.lit(None)).when(x["role"] != turn_of(i), F.when(i == lead, "First non-system message is not from the user").otherwise(F.concat(place(i), F.lit(" breaks alternation")))))
-    first = lambda a: F.filter(a, lambda e: e.isNotNull())
-    return (
-        F.when(m.isNull() | (n == 0), "Empty messages list")
-        .when(F.size(first(shape)) > 0, F.get(first(shape), F.lit(0)))
-        .when(n == lead, "Only system message present")
-        .when(F.size(first(order)) > 0, F.get(first(order), F.lit(0)))
-        .when(F.element_at(m, -1)["role"] == "user", "Conversation ends on user")
-    )
+
+    def check(m: Column) -> Column:
+        lead = F.when(F.get(m, F.lit(0))["role"] == "system", 1).otherwise(0)
+        n = F.size(m)
+        place = lambda i: F.concat(F.lit("Message "), i.cast("string"))
+        shape = F.transform(m, lambda x, i: F.when(x["role"].isNull(), F.concat(place(i), F.lit(" has no role"))).when(x["content"].isNull(), F.concat(place(i), F.lit(" has no content"))).when(~x["role"].isin("system", "user", "assistant"), F.concat(place(i), F.lit(" has an invalid role"))))
+        turn_of = lambda i: F.when((i - lead) % 2 == 0, "user").otherwise("assistant")
+        order = F.transform(m, lambda x, i: F.when((i == 0) & (lead == 1), F.lit(None)).when(x["role"] != turn_of(i), F.when(i == lead, "First non-system message is not from the user").otherwise(F.concat(place(i), F.lit(" breaks alternation")))))
+        first = lambda a: F.filter(a, lambda e: e.isNotNull())
+        return (
+            F.when(m.isNull() | (n == 0), "Empty messages list")
+            .when(F.size(first(shape)) > 0, F.get(first(shape), F.lit(0)))
+            .when(n == lead, "Only system message present")
+            .when(F.size(first(order)) > 0, F.get(first(order), F.lit(0)))
+            .when(F.element_at(m, -1)["role"] == "user", "Conversation ends on user")
+        )
+
+    return let(col(messages), check)
+
+
+# Role words that mean the user or the assistant.
+USER_ROLES = ["human", "user"]
 
 
 def fix(messages: Column | str) -> Column:
-    """Aliases mapped, blank content as a space, one system message at most, roles forced to alternate, a closing reply; null
-    if fewer than two messages are left."""
-    low = lambda r: F.lower(F.coalesce(r, F.lit("")))
-    known = lambda r: F.when(low(r).isin("human", "user"), "user").when(low(r) == "system", "system").otherwise("assistant")
-    said = lambda c: F.when(F.coalesce(strip(c), F.lit("")) == "", F.lit(" ")).otherwise(c)
-    clean = F.transform(col(messages), lambda m: message(known(m["role"]), said(m["content"])))
-    system = F.filter(clean, lambda m: m["role"] == "system")
-    rest = F.filter(clean, lambda m: m["role"] != "system")
-    forced = F.transform(rest, lambda m, i: message(F.when(i % 2 == 0, "user").otherwise("assistant"), m["content"]))
-    closed = F.when(F.size(rest) % 2 == 1, F.concat(forced, F.array(message("assistant", F.lit(CLOSING))))).otherwise(forced)
-    return F.when((F.size(clean) >= 2) & (F.size(rest) > 0), F.concat(F.slice(system, 1, 1), closed))
+    """Messages without a role or content go, roles are mapped (unknown ones are the assistant), contents stripped, blank ones
+    a space. Of several system messages the first stays where it is; a single one goes to the front. Behind a leading system
+    message roles are forced to alternate, and a closing reply is added; null if fewer than two messages are left."""
+    known = lambda r: F.when(F.lower(r).isin(USER_ROLES), "user").when(F.lower(r) == "system", "system").otherwise("assistant")
+    said = lambda c: F.when(strip(c) == "", F.lit(" ")).otherwise(strip(c))
+    is_system = lambda m: m["role"] == "system"
+
+    def one_system(clean: Column) -> Column:
+        first = F.array_position(F.transform(clean, lambda m: m["role"]), F.lit("system")) - 1
+        several = F.filter(clean, lambda m, i: ~is_system(m) | (i == first))
+        single = F.concat(F.filter(clean, is_system), F.filter(clean, lambda m: ~is_system(m)))
+        systems = F.size(F.filter(clean, is_system))
+        return F.when(F.size(clean) >= 2, F.when(systems > 1, several).when(systems == 1, single).otherwise(clean))
+
+    def alternating(kept: Column) -> Column:
+        lead = F.when(F.get(kept, F.lit(0))["role"] == "system", 1).otherwise(0)
+        forced = F.transform(kept, lambda m, i: F.when(i < lead, m).otherwise(message(F.when((i - lead) % 2 == 0, "user").otherwise("assistant"), m["content"])))
+        reply = F.when((F.size(kept) - lead) % 2 == 1, F.array(message("assistant", F.lit(CLOSING)))).otherwise(F.array().cast(MESSAGES))
+        return F.when(F.size(kept) > lead, F.concat(forced, reply))
+
+    whole = F.filter(col(messages), lambda m: (F.coalesce(m["role"], F.lit("")) != "") & m["content"].isNotNull())
+    clean = F.transform(whole, lambda m: message(known(m["role"]), said(m["content"])))
+    return let(let(clean, one_system), alternating)
 
 
 def with_system(messages: Column | str, prompt: Column | str) -> Column:
     """The prompt as the leading system message, in place of one that is there."""
-    m = col(messages)
-    rest = F.when(F.get(m, F.lit(0))["role"] == "system", F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
-    return F.concat(F.array(message("system", F.lit(prompt) if isinstance(prompt, str) else prompt)), rest)
+    rest = lambda m: F.when(F.get(m, F.lit(0))["role"] == "system", F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
+    return F.concat(F.array(message("system", F.lit(prompt) if isinstance(prompt, str) else prompt)), let(col(messages), rest))
 
 
 def complete_turns(turns: Column | str) -> Column:

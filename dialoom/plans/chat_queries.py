@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
-from dialoom.functions.turns import TURNS, digest, flatten, map_role, nest, turn, values_text
+from dialoom.functions.turns import digest, flatten, map_role, nest, turn, values_text
 from dialoom.operators import dedup, filters, formats, repair, reshape, stats
 from dialoom.plans.base import Registry, table
 
@@ -200,7 +200,7 @@ def chatml_roundtrip(spark, sf_dir):
 @REG.query("variant_messages", FROM_MESSAGES)
 def variant_messages(spark, sf_dir):
     docs = messages(spark, sf_dir).select("conv_id", F.try_parse_json(F.to_json(F.struct(F.col("m").alias("messages")))).alias("_doc"))
-    return shown(docs.withColumn("turns", formats.extract("_doc", formats.row_format("_doc"))))
+    return shown(docs.withColumn("turns", formats.extract("_doc", formats.format_of_row("_doc"))))
 
 
 @REG.query(
@@ -228,27 +228,66 @@ def alpaca_from_pairs(spark, sf_dir):
     return shown(a.withColumn("turns", formats.from_alpaca(F.col("i"), F.col("x"), F.col("o"))))
 
 
-FORMATS = """WITH f AS (SELECT conv_id, turn, conv_id % 6 AS k, text FROM conversations WHERE turn < 3),
-r AS (SELECT conv_id, turn, CASE WHEN k = 0 THEN 'sharegpt' WHEN k = 1 THEN 'huggingface' WHEN k = 2 AND turn > 0 THEN 'alpaca' WHEN k = 3 THEN 'vicuna' WHEN k = 4 THEN 'chatml' END AS f FROM f)
-SELECT conv_id, coalesce(arg_min(f, turn) FILTER (f IS NOT NULL), 'unknown') AS format FROM r GROUP BY conv_id"""
+FORMATS = """WITH n AS (SELECT conv_id, turn, conv_id % 9 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (SELECT conv_id, rn, k, CASE WHEN k = 0 OR k = 6 AND turn > 0 THEN 'sharegpt' WHEN k = 1 THEN 'huggingface' WHEN k = 2 AND turn > 0 THEN 'alpaca' WHEN k = 3 THEN 'vicuna' WHEN k IN (4, 5) THEN 'chatml' END AS f FROM n WHERE rn <= 5)
+SELECT conv_id, coalesce(arg_min(f, rn) FILTER (f IS NOT NULL), CASE WHEN min(k) IN (6, 8) THEN 'huggingface' ELSE 'unknown' END) AS format FROM r GROUP BY conv_id"""
 
 
 @REG.query("detect_format", FORMATS)
 def detect_format(spark, sf_dir):
+    """Roles in capitals, marks in messages and deep inside, messages of no shape before rows of a known one."""
     c = table(spark, sf_dir, "conversations")
-    k = F.col("conv_id") % 6
+    k = F.col("conv_id") % 9
     said = F.col("text")
+    marked = F.concat(F.lit("<|im_start|>user\n"), said, F.lit("<|im_end|>"))
+    sharegpt = F.to_json(F.struct(F.array(turn("human", said)).alias("conversations")))
     doc = (
-        F.when(k == 0, F.to_json(F.struct(F.array(turn("human", said)).alias("conversations"))))
+        F.when((k == 0) | ((k == 6) & (F.col("turn") > 0)), sharegpt)
         .when(k == 1, F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("messages"))))
         .when((k == 2) & (F.col("turn") > 0), F.to_json(F.struct(said.alias("instruction"))))
-        .when(k == 3, F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("from"))).alias("conversations"))))
-        .when(k == 4, F.to_json(F.struct(F.concat(F.lit("<|im_start|>user\n"), said, F.lit("<|im_end|>")).alias("text"))))
+        .when(k == 3, F.to_json(F.struct(F.array(F.struct(F.lit("USER").alias("from"))).alias("conversations"))))
+        .when(k == 4, F.to_json(F.struct(marked.alias("anything"))))
+        .when(k == 5, F.to_json(F.struct(F.array(F.struct(marked.alias("content"))).alias("messages"))))
+        .when(k == 6, F.lit('{"messages": [{"x": 1}]}'))
+        .when(k == 7, F.to_json(F.struct(F.struct(marked.alias("note")).alias("meta"))))
+        .when(k == 8, F.lit('{"messages": []}'))
         .otherwise(F.lit('{"other": 1}'))
     )
     return formats.detect_format(c.select("conv_id", "turn", F.try_parse_json(doc).alias("_doc")), "conv_id", "turn")
 
 
+SALVAGED = """WITH r AS (SELECT conv_id, turn, turn % 7 AS k, replace(text, ':', ' ') AS v FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END AS n, CASE k WHEN 0 THEN 'gpt' WHEN 1 THEN 'system' WHEN 2 THEN 'user' WHEN 3 THEN 'gpt' WHEN 4 THEN 'unknown' WHEN 5 THEN 'system' ELSE 'unknown' END AS who FROM r"""
+
+
+@REG.query("salvage_lines", SALVAGED)
+def salvage_lines(spark, sf_dir):
+    """Raw lines: role words with colons, words that are nearly roles, and free text."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.regexp_replace("text", ":", " ")
+    k = F.col("turn") % 7
+    raw = F.when(k == 0, F.concat(F.lit("x assistant: "), said)).when(k == 1, F.concat(F.lit("user:"), said, F.lit(" system: s"))).when(k == 2, "usar").when(k == 3, "Asistant").when(k == 4, "uxxr").when(k == 5, "sytem").otherwise(said)
+    found = c.select("conv_id", "turn", formats.salvage(raw).alias("t"))
+    return found.select("conv_id", "turn", F.size("t").alias("n"), F.get("t", F.lit(0))["from"].alias("who"))
+
+
+UNKNOWN = f"""WITH {BASE}, m AS (SELECT conv_id, list_transform(list_filter(t, lambda x: x.f <> 'system'), lambda x: {{'f': CASE x.f WHEN 'human' THEN 'Narrator' ELSE x.f END, 'v': coalesce({_strip('x.v')}, '')}}) AS t FROM n),
+u AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN [{{'f': 'system', 'v': 'Be kind.'}}] ELSE [] END || t AS t FROM m),
+s AS (SELECT conv_id, CASE WHEN len(t) = 0 THEN [{{'f': 'system', 'v': 'No conversations found.'}}] ELSE t END AS t FROM u) SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM s"""
+
+
+@REG.query("system_and_completion", UNKNOWN)
+def system_and_completion(spark, sf_dir):
+    """Rows of no known format: a system field, and a completion that is a list or JSON of one."""
+    said = F.transform(F.filter("turns", lambda t: t["from"] != "system"), lambda t: F.struct(F.when(t["from"] == "human", "Narrator").otherwise("assistant").alias("role"), t["value"].alias("content")))
+    rows = defective(spark, sf_dir).select("conv_id", said.alias("c"))
+    system = F.when(F.col("conv_id") % 2 == 0, F.lit(" Be kind. "))
+    listed = F.to_json(F.struct(system.alias("system"), F.col("c").alias("completion")))
+    quoted = F.to_json(F.struct(system.alias("system"), F.to_json("c").alias("completion")))
+    docs = rows.select("conv_id", F.try_parse_json(F.when(F.col("conv_id") % 3 == 0, quoted).otherwise(listed)).alias("_doc"))
+    return shown(docs.withColumn("turns", formats.extract("_doc", formats.format_of_row("_doc"))))
+
+
 @REG.query("sentinel_rows", f"WITH {BASE}, u AS (SELECT conv_id, list_filter(t, lambda x: x.f = 'gpt') AS t FROM n), s AS (SELECT conv_id, CASE WHEN len(t) = 0 THEN [{{'f': 'system', 'v': 'No conversations found.'}}] ELSE t END AS t FROM u) SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM s")
 def sentinel_rows(spark, sf_dir):
     replies = F.filter("turns", lambda t: t["from"] == "gpt")
@@ -280,15 +319,27 @@ def validate_messages(spark, sf_dir):
     return listed(spark, sf_dir).select("conv_id", F.coalesce(repair.why_invalid("m"), F.lit("ok")).alias("reason"))
 
 
-FIXED = f"""WITH {LISTED}, c AS (SELECT conv_id, list_transform(m, lambda x: {{'f': x.f, 'v': CASE WHEN coalesce({_strip('x.v')}, '') = '' THEN ' ' ELSE x.v END}}) AS m FROM m),
-p AS (SELECT conv_id, m, list_filter(m, lambda x: x.f = 'system')[1:1] AS s, list_filter(m, lambda x: x.f <> 'system') AS r FROM c),
-f AS (SELECT conv_id, m, r, s || list_transform(r, lambda x, i: {{'f': CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END, 'v': x.v}}) || CASE WHEN len(r) % 2 = 1 THEN [{{'f': 'assistant', 'v': 'I understand.'}}] ELSE [] END AS t FROM p)
-SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM f WHERE len(m) >= 2 AND len(r) > 0"""
+#: Messages with role aliases, padding, and a second system message in their midst; read alike by both engines.
+MESSY = f"""SELECT conv_id, CAST(turn AS DOUBLE) AS place, CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'Bot' WHEN role = 'user' AND conv_id % 3 = 1 THEN 'HUMAN' ELSE role END AS role, concat('  ', text) AS text
+FROM ({DEFECTS}) WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, CAST(turn AS DOUBLE), role, text FROM ({DEFECTS}) WHERE text IS NULL
+UNION ALL SELECT conv_id, CAST(0.5 AS DOUBLE), 'System', ' In the midst. ' FROM conversations WHERE turn = 0 AND conv_id % 4 = 1
+UNION ALL SELECT conv_id, CAST(0.7 AS DOUBLE), NULL, 'of no role' FROM conversations WHERE turn = 0 AND conv_id % 4 = 2"""
+FIXED = f"""WITH m AS (SELECT conv_id, list({{'f': role, 'v': text}} ORDER BY place) AS m FROM ({MESSY}) GROUP BY conv_id),
+c AS (SELECT conv_id, list_transform(list_filter(m, lambda x: coalesce(x.f, '') <> '' AND x.v IS NOT NULL), lambda x: {{'f': CASE WHEN lower(x.f) IN ('human', 'user') THEN 'user' WHEN lower(x.f) = 'system' THEN 'system' ELSE 'assistant' END, 'v': CASE WHEN {_strip('x.v')} = '' THEN ' ' ELSE {_strip('x.v')} END}}) AS c FROM m),
+s AS (SELECT conv_id, c, list_filter(c, lambda x: x.f = 'system') AS s, list_position(list_transform(c, lambda x: x.f), 'system') AS p FROM c),
+k AS (SELECT conv_id, c, CASE WHEN len(s) > 1 THEN list_filter(c, lambda x, i: x.f <> 'system' OR i = p) WHEN len(s) = 1 THEN s || list_filter(c, lambda x: x.f <> 'system') ELSE c END AS k FROM s),
+l AS (SELECT conv_id, c, k, CASE WHEN k[1].f = 'system' THEN 1 ELSE 0 END AS l FROM k),
+f AS (SELECT conv_id, c, k, l, list_transform(k, lambda x, i: CASE WHEN i <= l THEN x ELSE {{'f': CASE WHEN (i - 1 - l) % 2 = 0 THEN 'user' ELSE 'assistant' END, 'v': x.v}} END) || CASE WHEN (len(k) - l) % 2 = 1 THEN [{{'f': 'assistant', 'v': 'I understand.'}}] ELSE [] END AS t FROM l)
+SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM f WHERE len(c) >= 2 AND len(k) > l"""
 
 
 @REG.query("fix_messages", FIXED)
 def fix_messages(spark, sf_dir):
-    return shown_messages(listed(spark, sf_dir).withColumn("t", repair.fix("m")), "t")
+    rows = spark.sql(MESSY.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
+    order = F.array_sort(F.collect_list(F.struct("place", "role", "text")))
+    m = rows.groupBy("conv_id").agg(order.alias("m")).select("conv_id", F.transform("m", lambda x: repair.message(x["role"], x["text"])).alias("m"))
+    return shown_messages(m.withColumn("t", repair.fix("m")), "t")
 
 
 @REG.query("upsert_system", f"WITH {LISTED}, u AS (SELECT conv_id, [{{'f': 'system', 'v': 'Be kind.'}}] || CASE WHEN m[1].f = 'system' THEN m[2:] ELSE m END AS t FROM m) SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM u")
@@ -384,7 +435,13 @@ def shuffle_seeded(spark, sf_dir):
     return reshape.shuffled(table(spark, sf_dir, "conversations").select("conv_id", "turn"), 5, "conv_id", "turn")
 
 
-@REG.query("canonical_turns", f"WITH {BASE}, u AS (SELECT conv_id, list_transform(list_filter(t, lambda x: x.v IS NOT NULL), lambda x: {{'f': x.f, 'v': {_strip('x.v')}}}) AS t FROM n) SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM u")
+NUMBERS = "(conv_id % 8 = 5 AND i = 2)"
+
+
+@REG.query("canonical_turns", f"WITH {BASE}, u AS (SELECT conv_id, list_transform(list_filter(t, lambda x, i: x.v IS NOT NULL AND NOT {NUMBERS}), lambda x: {{'f': x.f, 'v': {_strip('x.v')}}}) AS t FROM n) SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM u")
 def canonical_turns(spark, sf_dir):
-    docs = defective(spark, sf_dir).select("conv_id", F.try_parse_json(F.to_json(F.struct(F.col("turns").alias("conversations")))).alias("_doc"))
-    return shown(docs.withColumn("turns", formats.from_canonical(formats.at("_doc", "$.conversations", TURNS))))
+    """Values that aren't strings go, numbers too."""
+    number = lambda i: (F.col("conv_id") % 8 == 5) & (i == 1)
+    each = F.transform("turns", lambda t, i: F.when(number(i), F.concat(F.lit('{"from":"gpt","value":'), F.length(F.coalesce(t["value"], F.lit(""))).cast("string"), F.lit("}"))).otherwise(F.to_json(t, {"ignoreNullFields": "false"})))
+    docs = defective(spark, sf_dir).select("conv_id", F.try_parse_json(F.concat(F.lit('{"conversations":['), F.array_join(each, ","), F.lit("]}"))).alias("_doc"))
+    return shown(docs.withColumn("turns", formats.from_canonical(formats.as_turns(formats.pairs_at("_doc", "$.conversations", "from", "value")))))

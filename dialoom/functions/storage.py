@@ -8,21 +8,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder on local masters (tests); a cluster must name one, as its
+    machines don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="dialoom-"))
     return _LOCAL_DIR[0]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder within the shared one; it is deleted when the application ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/dialoom-{context.applicationId}"
+    if _OWN.get(context.applicationId) != path:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _OWN[context.applicationId] = path
+    return path
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dialoom/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

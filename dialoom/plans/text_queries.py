@@ -73,35 +73,32 @@ def choose_canonical(spark, sf_dir):
     return dedup.choose_keep(table(spark, sf_dir, "documents"), "source", "doc_id", F.col("doc_id") % 10 * (F.col("doc_id") % 7), "n_chars", "doc_id")
 
 
-@REG.query("shingle_sets", "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(length(text) - 9, 1) + 1), lambda i: substr(text, i, 10)))) AS n FROM benchmark WHERE length(text) > 0")
+@REG.query("shingle_sets", "SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(text) - 9, 1) + 1), lambda i: substr(text, i, 10)))) AS n FROM documents WHERE length(text) > 0")
 def shingle_sets(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where("length(text) > 0").select("item_id", F.size(H.char_shingles("text")).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.size(H.char_shingles("text")).cast("long").alias("n"))
 
 
-SIMHASH = """WITH w AS (SELECT item_id, word, count(*) AS c FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) AS word FROM benchmark) GROUP BY ALL),
-b AS (SELECT item_id, bit, sum(CASE WHEN (CAST('0x' || substr(md5(word), 17, 4) AS BIGINT) >> bit) & 1 = 1 THEN c ELSE -c END) > 0 AS on_ FROM w, range(16) r(bit) GROUP BY item_id, bit)
-SELECT item_id, CAST(sum(CASE WHEN on_ THEN 1 << bit ELSE 0 END) AS BIGINT) AS bucket FROM b GROUP BY item_id"""
+SIMHASH = """WITH w AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\pZ\\x1C-\\x1F\\x85]+'), lambda x: x <> '')) AS word FROM documents) GROUP BY ALL),
+b AS (SELECT doc_id, bit, sum(CASE WHEN (CAST('0x' || substr(md5(word), 17, 4) AS BIGINT) >> bit) & 1 = 1 THEN c ELSE -c END) > 0 AS on_ FROM w, range(16) r(bit) GROUP BY doc_id, bit)
+SELECT doc_id, CAST(sum(CASE WHEN on_ THEN 1 << bit ELSE 0 END) AS BIGINT) AS bucket FROM b GROUP BY doc_id"""
 
 
 @REG.query("simhash_buckets", SIMHASH)
 def simhash_buckets(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", H.prefix(H.simhash64("text")).alias("bucket"))
+    return table(spark, sf_dir, "documents").where("trim(text) <> ''").select("doc_id", H.prefix(H.simhash64("text")).alias("bucket"))
 
 
-PAIRED = "a AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3))) AS s, item_id % 4 AS b FROM benchmark)"
+PAIRED = "a AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3))) AS s FROM benchmark WHERE length(text) > 0)"
 
 
-@REG.query("exact_jaccard_pairs", f"WITH {PAIRED} SELECT x.item_id AS a, y.item_id AS b FROM a x JOIN a y ON x.b = y.b AND x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) >= 0.2 * len(list_distinct(x.s || y.s))")
+@REG.query("exact_jaccard_pairs", f"WITH {PAIRED} SELECT x.item_id AS a, y.item_id AS b FROM a x JOIN a y ON x.item_id < y.item_id WHERE len(list_intersect(x.s, y.s)) >= 0.2 * len(list_distinct(x.s || y.s))")
 def exact_jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("bucket"), H.char_shingles("text", 3).alias("set"))
-    return dedup.bucket_pairs(rows, "bucket", "item_id", H.jaccard("set_a", "set_b") >= 0.2, ["set"]).select("a", "b")
+    return dedup.jaccard_pairs(table(spark, sf_dir, "benchmark").select("item_id", H.char_shingles("text", 3).alias("set")), "item_id", "set", 0.2)
 
 
 @REG.query("minhash_estimates")
 def minhash_estimates(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("bucket"), H.minhash(H.char_shingles("text", 3)).alias("sig"))
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) / 64
-    return dedup.bucket_pairs(rows, "bucket", "item_id", same >= 0.3, ["sig"]).select("a", "b")
+    return dedup.minhash_pairs(table(spark, sf_dir, "benchmark").select("item_id", H.char_shingles("text", 3).alias("set")), "item_id", "set", 0.2)
 
 
 @REG.query("neardup_dedup")
@@ -109,11 +106,10 @@ def neardup_dedup(spark, sf_dir):
     return dedup.near_duplicates(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
 
 
-@REG.query("hamming_pairs", "WITH c AS (SELECT item_id, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS c, item_id % 5 AS b FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, CAST(bit_count(xor(x.c, y.c)) AS INTEGER) AS d FROM c x JOIN c y ON x.b = y.b AND x.item_id < y.item_id")
+@REG.query("hamming_pairs", "WITH c AS (SELECT doc_id, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS c FROM documents) SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.c, y.c)) AS INTEGER) AS d FROM c x JOIN c y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.c, y.c)) <= 5")
 def hamming_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long").alias("c"), (F.col("item_id") % 5).alias("bucket"))
-    a, b = c.select("bucket", F.col("item_id").alias("a"), F.col("c").alias("ca")), c.select("bucket", F.col("item_id").alias("b"), F.col("c").alias("cb"))
-    return a.join(b, "bucket").where("a < b").select("a", "b", H.hamming("ca", "cb").cast("int").alias("d"))
+    c = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long").alias("c"))
+    return dedup.hamming_pairs(c, "doc_id", "c", 5, 32)
 
 
 @REG.query("perceptual_groups")
@@ -124,15 +120,13 @@ def perceptual_groups(spark, sf_dir):
 
 @REG.query(
     "cosine_topk",
-    "WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * e.embedding[i])), 6) AS sim FROM q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id), "
+    "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * e.embedding[i])), 6) AS sim FROM q JOIN embeddings e ON q.vec_id <> e.vec_id), "
     "r AS (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS INTEGER) AS rank FROM s) SELECT a, b, rank FROM r WHERE rank <= 5",
 )
 def cosine_topk(spark, sf_dir):
-    """Searches: every hundredth vector against all of its label."""
+    """Searches: every hundredth vector is a query, against all rows."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label")
-    pairs = q.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label"), "label").where("a <> b")
-    return dedup.top_k(pairs.withColumn("sim", F.round(H.dot("va", "vb"), 6)), "a", "sim", "b", 5).select("a", "b", "rank")
+    return dedup.searched(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5).select("a", "b", "rank")
 
 
 def doubled(spark, sf_dir) -> DataFrame:
@@ -144,12 +138,12 @@ def doubled(spark, sf_dir) -> DataFrame:
 
 @REG.query("embedding_groups", "SELECT vec_id AS leader, vec_id + 1000000 AS member FROM embeddings WHERE vec_id % 5 = 0")
 def embedding_groups(spark, sf_dir):
-    return dedup.embedding_groups(doubled(spark, sf_dir), "vec_id", "embedding", 0.97, tables=20)
+    return dedup.embedding_groups(doubled(spark, sf_dir), "vec_id", "embedding", 0.97)
 
 
 @REG.query("text_greedy_dedup", "SELECT vec_id FROM embeddings")
 def text_greedy_dedup(spark, sf_dir):
-    return dedup.greedy_texts(doubled(spark, sf_dir), "vec_id", "embedding", 0.85, tables=24).select("vec_id")
+    return dedup.greedy_texts(doubled(spark, sf_dir), "vec_id", "embedding", 0.85).select("vec_id")
 
 
 @REG.query("multi_method_merge", "WITH a AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS k FROM documents), b AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(trim(text))) AS k FROM documents) SELECT DISTINCT doc_id AS member FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE doc_id <> k")
@@ -215,9 +209,9 @@ def criteria_distinct(spark, sf_dir):
     return reshape.ordered_distinct(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
 
 
-LISTED_STOPS = ", ".join(f"'{w}'" for w in ngrams.STOPWORDS)
+LISTED_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in ngrams.STOPWORDS)
 LISTED_MARKS = ", ".join("'" + p.replace("'", "''") + "'" for p in ngrams.PUNCTUATION)
-GRAMS = rf"""WITH t AS (SELECT item_id AS o, regexp_extract_all(lower(trim(regexp_replace(regexp_replace(translate(text, '‘’“”`', '''''""'''), '[''"]+', '"', 'g'), '[\s\pZ\x1C-\x1F\x85]+', ' ', 'g'))), '[\p{{L}}\p{{N}}\p{{M}}_'']+|[^\p{{L}}\p{{N}}\p{{M}}_\s\p{{Z}}\x1C-\x1F\x85]') AS t FROM benchmark),
+GRAMS = rf"""WITH t AS (SELECT doc_id AS o, regexp_extract_all(lower(trim(regexp_replace(regexp_replace(translate(text, '‘’`', ''''''''), '[''"]+', '"', 'g'), '[\s\pZ\x1C-\x1F\x85]+', ' ', 'g'))), '[\p{{L}}\p{{N}}\p{{M}}_'']+|[^\p{{L}}\p{{N}}\p{{M}}_\s\p{{Z}}\x1C-\x1F\x85]') AS t FROM documents),
 g AS (SELECT o, n, i, t[i:i + n - 1] AS g FROM (SELECT o, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, range(3, 6) r(n) WHERE len(t) >= n)),
 k AS (SELECT o, n, i, array_to_string(g, ' ') AS ngram FROM g WHERE len(list_filter(g, lambda w: w IN ({LISTED_STOPS}))) <= 1 AND len(list_filter(g, lambda w: w IN ({LISTED_MARKS}))) <= 1),
 c AS (SELECT n, ngram, count(*) AS cnt, min(o * 100000 + i) AS pos FROM k GROUP BY n, ngram),
@@ -227,12 +221,12 @@ SELECT CAST(n AS INTEGER) AS n, ngram, cnt, rank FROM r WHERE rank <= 10"""
 
 @REG.query("ngram_top10", GRAMS)
 def ngram_top10(spark, sf_dir):
-    return ngrams.top_ngrams(ngrams.ngrams(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return ngrams.top_ngrams(ngrams.ngrams(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @REG.query("ngram_recency")
 def ngram_recency(spark, sf_dir):
-    return ngrams.top_ngrams(ngrams.with_recency(ngrams.ngrams(table(spark, sf_dir, "benchmark"), "item_id", "text")))
+    return ngrams.top_ngrams(ngrams.with_recency(ngrams.ngrams(table(spark, sf_dir, "documents"), "doc_id", "text")))
 
 
 @REG.query("ngram_jaccard", "WITH w AS (SELECT item_id, item_id + 1 AS next, string_split(text, ' ') AS w FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(a.w || b.w)), 1), 6) AS j FROM w a JOIN w b ON a.next = b.item_id")
@@ -286,7 +280,7 @@ def language_filter(spark, sf_dir):
 @REG.query("tokenize_rows")
 def tokenize_rows(spark, sf_dir):
     t = plugins.tokenize(F.col("text"), plugins.hashed_tokenizer())
-    return table(spark, sf_dir, "benchmark").select("item_id", t.alias("t")).select("item_id", "t.input_ids", "t.attention_mask")
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t.input_ids", "t.attention_mask")
 
 
 @REG.query("corrected_replies")
@@ -336,11 +330,9 @@ def first_seen_stream(spark, sf_dir):
     folder = path if not path.endswith(".parquet") else sf_dir
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/documents.parquet*" if folder == sf_dir else folder)
     seen = stream.first_seen(rows.select(H.content_key("text").alias("sha")), "sha")
-    name = f"first_seen_{abs(hash(sf_dir)) % 10**9}"
-    spark.catalog.dropTempView(name)
-    query = seen.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{storage.shared_dir(spark)}/{name}-{spark.range(1).select(F.uuid()).first()[0]}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    target = storage.new_path(spark, "first-seen")
+    seen.writeStream.format("parquet").option("checkpointLocation", storage.new_path(spark, "first-seen-checkpoint")).trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.parquet(target)
 
 
 @REG.query("harvest_reasons", f"WITH p AS (SELECT page_id, url, html, page_id % 7 * 100 AS w FROM pages), s AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0), t AS (SELECT *, {TAGLESS} AS t FROM p) SELECT page_id, CASE WHEN url IN (SELECT url FROM s) THEN 'seen' WHEN w < 300 THEN 'too_small' WHEN NOT contains(t, 'tion') THEN 'terms' ELSE 'kept' END AS reason FROM t")

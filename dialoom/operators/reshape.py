@@ -63,12 +63,24 @@ def subdirectory(path: Column | str, size: int) -> Column:
     return F.lpad(F.floor(F.coalesce(F.when(stem.rlike("^[0-9]{1,18}$"), stem).cast("long"), F.lit(0)) / size).cast("string"), 5, "0")
 
 
-def unique_names(df: DataFrame, path: str, order: str) -> DataFrame:
-    """Add `target`: the base name, with _1, _2, ... for later rows of the same name."""
+def unique_names(df: DataFrame, path: str, order: str, between: str = "_") -> DataFrame:
+    """Add `target`: the base name, with _1, _2, ... for later rows of the same name (between="__dup" for moved duplicates).
+
+    The number is the distance from the name's first row in an order over all rows, so a frequent name takes no task for
+    itself.
+    """
     base = F.element_at(F.split(path, "/"), -1)
-    k = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
-    stem, ext = F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("_k", k).withColumn("target", F.when(F.col("_k") == 0, base).otherwise(F.concat(stem, F.lit("_"), F.col("_k").cast("string"), ext))).drop("_k")
+    ranked = written(numbered(df.withColumn("_base", base), "_base", order, name="_at"), "names")
+    first = ranked.groupBy("_base").agg(F.min("_at").alias("_first"))
+    k = F.col("_at") - F.col("_first")
+    stem, ext = F.regexp_extract("_base", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_base", r"^(.*?)(\.[^.]*)?$", 2)
+    target = F.when(k == 0, F.col("_base")).otherwise(F.concat(stem, F.lit(between), k.cast("string"), ext))
+    return ranked.join(first, "_base").withColumn("target", target).drop("_base", "_at", "_first")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows along the order: limits and previews."""
+    return df.orderBy(*order).limit(n)
 
 
 def last_per(df: DataFrame, key: str, order: str) -> DataFrame:

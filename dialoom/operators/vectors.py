@@ -52,6 +52,14 @@ def projected_out(vector: Column | str, along: Column | str) -> Column:
     return F.zip_with(v, u, lambda a, b: a - dot(v, u) * b)
 
 
+def renormed(new: Column | str, old: Column | str) -> Column:
+    """The new rows of a matrix (array of arrays), scaled to the Frobenius norm of the old."""
+    n, o = (F.col(x) if isinstance(x, str) else x for x in (new, old))
+    size = lambda m: F.sqrt(F.aggregate(F.transform(m, lambda r: norm(r) * norm(r)), F.lit(0.0), lambda s, x: s + x))
+    scale = size(o) / F.greatest(size(n), F.lit(1e-12))
+    return F.transform(n, lambda r: F.transform(r, lambda x: x * scale))
+
+
 def null_space(df: DataFrame, group: str, vector: str, share: float = 0.01) -> DataFrame:
     """group, dim and row of the projector I - V V^T on what the group's vectors don't span. A group is one layer's samples;
     each task forms d x d Gram matrices of its rows, and only those are shuffled."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from dialoom.functions.text import strip
+from dialoom.functions.text import mime_type, strip
 from dialoom.operators.reshape import numbered
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "gif", "tif", "tiff"]
@@ -18,12 +18,19 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp", "gif", "tif", "tiff"]
 IMAGE_COLUMNS = ["image", "img", "picture", "photo"]
 TEXT_COLUMNS = ["text", "caption", "description", "prompt", "label"]
 # Keys that a prompt is looked for under.
-PROMPT_KEYS = ["prompt", "Prompt", "positivePrompt", "positive_prompt", "text", "caption", "description", "title"]
+PROMPT_KEYS = ["prompt", "Prompt", "positivePrompt", "positive_prompt", "positive", "Positive prompt", "caption", "description"]
+# What the names of caption columns hold.
+CAPTION_NAMES = "text caption captions description descriptions label labels annotation annotations alt_text title titles summary summaries content".split()
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """_file, _pos (gapless, by file and line) and _raw of text files."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_raw"))
+# Folders that aren't searched for datasets.
+IGNORED_FOLDERS = ["venv", ".venv", "__pycache__", ".git", ".idea", ".vscode", "node_modules"]
+UNDECODED = "\ufffd"
+
+
+def lines(spark: SparkSession, path: str, ignore_bad_bytes: bool = False) -> DataFrame:
+    """_file, _pos (gapless, by file and line) and _raw of text files. Bytes that aren't UTF-8 come as U+FFFD, or not at all."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), (F.replace(F.make_valid_utf8("value"), F.lit(UNDECODED), F.lit("")) if ignore_bad_bytes else F.col("value")).alias("_raw"))
     return numbered(rows, "_file", "_block", "_line").select("_file", "_pos", "_raw")
 
 
@@ -68,15 +75,17 @@ def jsonl(spark: SparkSession, path: str, strict: bool = True, fail_fast: bool =
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files: the items of arrays, others as one; files that don't parse are read by line, objects only."""
+    """_file, _pos, _raw and _doc of whole JSON files: the items of arrays, others as one; files that don't parse are read by
+    line, objects only."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_raw"))
     docs = parsed(whole)
     is_array = F.schema_of_variant("_doc").startswith("ARRAY")
-    items = docs.where(F.col("_doc").isNotNull() & is_array).selectExpr("_file", "_raw", "explode(cast(_doc AS array<variant>)) AS _doc")
-    single = docs.where(F.col("_doc").isNotNull() & ~is_array).select("_file", "_raw", "_doc")
-    by_line = parsed(docs.where("_doc is null").select("_file", F.explode(F.split("_raw", "\n")).alias("_raw")).where(strip("_raw") != ""))
-    objects = by_line.where(F.col("_doc").isNull() | F.schema_of_variant("_doc").startswith("OBJECT"))
-    return items.union(single).union(objects)
+    items = docs.where(F.col("_doc").isNotNull() & is_array).selectExpr("_file", "posexplode(cast(_doc AS array<variant>)) AS (_k, _doc)").select("_file", "_k", F.to_json("_doc").alias("_raw"), "_doc")
+    single = docs.where(F.col("_doc").isNotNull() & ~is_array).select("_file", F.lit(0).alias("_k"), "_raw", "_doc")
+    by_line = parsed(docs.where("_doc is null").select("_file", F.posexplode(F.split("_raw", "\n")).alias("_k", "_raw")).where(strip("_raw") != ""))
+    objects = by_line.where(F.col("_doc").isNull() | F.schema_of_variant("_doc").startswith("OBJECT")).select("_file", "_k", "_raw", "_doc")
+    every = items.union(single).union(objects).withColumn("_doc", F.to_json("_doc"))  # a variant can't be sorted through a shuffle by others
+    return numbered(every, "_file", "_k").select("_file", "_pos", "_raw", F.try_parse_json("_doc").alias("_doc"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -155,13 +164,13 @@ def metadata(rows: DataFrame) -> DataFrame:
 
 def prompt_text(doc: str = "_doc") -> Column:
     """The first prompt key with text, or the document as JSON."""
-    found = [F.nullif(strip(F.try_variant_get(doc, f"$.{k}", "string")), F.lit("")) for k in PROMPT_KEYS]
+    found = [F.nullif(strip(F.try_variant_get(doc, f"$['{k}']", "string")), F.lit("")) for k in PROMPT_KEYS]
     return F.coalesce(*found, F.to_json(F.col(doc)))
 
 
 def caption_column(columns: list[tuple[str, str | None]], patterns: list[str] | None = None) -> str | None:
     """The first column, of (name, sample), whose name looks like captions or whose sample is a text of over ten characters."""
-    wanted = patterns or [*TEXT_COLUMNS, "captions", "alt", "title", "summary", "sentence", "comment", "annotation"]
+    wanted = patterns or CAPTION_NAMES
     for name, sample in columns:
         if any(p in name.lower() for p in wanted):
             return name
@@ -170,6 +179,56 @@ def caption_column(columns: list[tuple[str, str | None]], patterns: list[str] |
     return None
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """_pos and item of a YAML file that is a list of plain or quoted scalars; comments and other lines are skipped."""
+    raw = F.regexp_extract("_raw", r"^\s*-\s+(.*?)\s*$", 1)
+    quoted = F.regexp_extract(raw, r"^(?:'((?:[^']|'')*)'|\"((?:[^\"\\\\]|\\\\.)*)\")\s*(?:#.*)?$", 0)
+    single, double = F.replace(F.regexp_extract(raw, r"^'((?:[^']|'')*)'", 1), F.lit("''"), F.lit("'")), F.regexp_replace(F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1), r"\\(.)", "$1")
+    plain = strip(F.regexp_replace(raw, r"\s+#.*$", ""))
+    item = F.when(quoted == "", plain).when(raw.startswith("'"), single).otherwise(double)
+    return lines(spark, path).where(F.col("_raw").rlike(r"^\s*-\s+\S")).select("_pos", item.alias("item")).where("item <> ''")
+
+
+def dataset_roots(spark: SparkSession, *parents: str, ignored: list[str] = IGNORED_FOLDERS) -> DataFrame:
+    """root and _pos: folders below the parents, each once and in their order, that hold metadata.jsonl and images/ with files.
+    A parent that is a root itself isn't searched further. Only paths are read."""
+    found = None
+    for k, parent in enumerate(parents):
+        paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(parent).select("path").where(~F.col("path").rlike("/(" + "|".join(x.replace(".", r"\.") for x in ignored) + ")/"))
+        meta = paths.where(F.col("path").endswith("/metadata.jsonl")).select(F.regexp_replace("path", "/metadata\\.jsonl$", "").alias("root"))
+        images = paths.where(F.contains("path", F.lit("/images/"))).select(F.regexp_extract("path", "^(.*?)/images/[^/]*$", 1).alias("root")).distinct()
+        own = meta.join(images, "root", "left_semi").withColumn("_parent", F.lit(k))
+        itself = own.where(F.regexp_replace("root", "^file:/*", "/") == F.lit(parent.removeprefix("file:").rstrip("/"))).select("_parent")
+        own = own.join(itself.withColumnRenamed("_parent", "_p"), F.col("_parent") == F.col("_p"), "left").where(F.col("_p").isNull() | (F.regexp_replace("root", "^file:/*", "/") == F.lit(parent.removeprefix("file:").rstrip("/")))).drop("_p")
+        found = own if found is None else found.union(own)
+    return found.groupBy("root").agg(F.min("_parent").alias("_parent")).select("root", F.col("_parent").alias("_pos"))
+
+
+def choose_split(splits: list[str]) -> str:
+    """train where there is one, else the first."""
+    if not splits:
+        raise ValueError("no splits")
+    return "train" if "train" in splits else splits[0]
+
+
+def data_url(content: Column | str, path: Column | str) -> Column:
+    """Bytes as a base64 data URL, with the type that the path's extension says."""
+    data = F.col(content) if isinstance(content, str) else content
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.base64(data))
+
+
+def stamped(name: Column | str, at: Column, extension: str) -> Column:
+    """A file name with a time stamp: name_20240131_235959.extension."""
+    return F.concat(F.col(name) if isinstance(name, str) else name, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(f".{extension}"))
+
+
+def checked_catalog(catalog: DataFrame) -> DataFrame:
+    """The catalog, failing at a tensor that two files hold."""
+    times = catalog.groupBy("tensor").agg(F.count("*").alias("_n"))
+    told = F.raise_error(F.concat(F.lit("tensor in two files: "), F.col("tensor")))
+    return catalog.join(times, "tensor").withColumn("file", F.when(F.col("_n") > 1, told.cast("string")).otherwise(F.col("file"))).drop("_n")
+
+
 def tensor_catalog(spark: SparkSession, path: str) -> DataFrame:
     """tensor, file, dtype and shape from the headers of safetensors files: eight bytes of length, then JSON."""
     files = spark.read.format("binaryFile").load(path)

@@ -34,6 +34,15 @@ def in_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame], target
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop_when(query: StreamingQuery, asked: Callable[[], bool], pause: float = 0.2) -> None:
+    """Stop a running query once it is asked to; what it has committed stays, and a new start goes on from there."""
+    while query.isActive:
+        if asked():
+            query.stop()
+            return
+        query.awaitTermination(pause)
+
+
 def resumed(todo: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """What the append log doesn't hold yet."""
     return todo.join(log.select(key).distinct(), key, "left_anti")

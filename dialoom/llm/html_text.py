@@ -3,11 +3,15 @@
 A tokenizer cuts tags, comments and raw text; a tree builder keeps the stack of open elements and adds the tags that HTML
 implies (an open p ends before a block, li before li, dt/dd, options, table parts; end tags close what they leave open and
 are dropped where nothing matches). Elements are hidden by their tag (head, script, style, template, noscript, ...), the
-hidden attribute, or display:none / visibility:hidden in their style. What stays is laid out as text:
+hidden attribute, or display:none in their style or in a rule of the page's style sheets that names a tag, classes or an id
+(other selectors, and rules for print, count for nothing). visibility:hidden hides text until a descendant turns it visible.
+What stays is laid out as text:
   white space collapses, except in pre and textarea;
   blocks start lines, and paragraphs, headings, lists, tables and quotes stand apart by an empty line;
-  list items get `* ` or their number and their lines are indented below it; quotes are indented by `> `;
-  table rows take a line for each line of their highest cell, and columns are aligned (up to 80 characters wide).
+  list items get `* ` or their number and their lines are indented below it; quotes are indented by `> `; below DEEPEST
+  levels indents grow no more and a line names its level as `[n] `, so that output stays in proportion to the page;
+  table rows take a line for each line of their highest cell, columns are aligned (up to 80 characters wide, lest one long
+  cell widens every row), and cells that span columns or rows keep others out of their places.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as a browser would keep its text;
 pages of any length and depth are rendered whole, without recursion; repeated rows each get a row; an empty table gives
@@ -54,9 +58,68 @@ SCOPE = frozenset("td th caption table html template".split())
 TOKEN = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(?:!|\?|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+SHOWN = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
+STYLE = re.compile(r"<style\b([^>]*)>(.*?)(?:</style\b|\Z)", re.I | re.S)
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 WIDEST = 80
+DEEPEST = 16
+# Fixed values of HTML: the most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def declared(style: str) -> dict[str, str]:
+    """display and visibility of a list of declarations; the last of each counts."""
+    return {m[1].lower(): m[2].lower() for m in SHOWN.finditer(style)}
+
+
+class Rules:
+    """What style sheets say about display and visibility, by tag, classes and id."""
+
+    def __init__(self, page: str) -> None:
+        self.of: dict[str, list[tuple[int, int, str, frozenset[str], dict[str, str]]]] = {}
+        for m in STYLE.finditer(page):
+            if "print" not in m[1].lower():
+                self.read(re.sub(r"/\*.*?\*/", "", m[2], flags=re.S))
+
+    def read(self, sheet: str) -> None:
+        at, skipping, depth, order = 0, 0, 0, 0
+        for m in re.finditer(r"[{}]", sheet):
+            head = sheet[at : m.start()].strip()
+            at = m.end()
+            if m[0] == "{":
+                depth += 1
+                if not skipping and head.startswith("@") and ("print" in head.lower() or not head.lower().startswith(("@media", "@supports", "@layer"))):
+                    skipping = depth
+                self.head = head
+                continue
+            if not skipping and not self.head.startswith("@") and (says := declared(head)):
+                for selector in self.head.split(","):
+                    self.add(selector.strip(), says, order)
+                    order += 1
+            self.head = "@"
+            if skipping == depth:
+                skipping = 0
+            depth = max(0, depth - 1)
+
+    def add(self, selector: str, says: dict[str, str], order: int) -> None:
+        m = SELECTOR.match(selector)
+        if not m or not selector:
+            return
+        names = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+        tag = (m[1] or "*").lower()
+        weight = 100 * sum(x[0] == "#" for x in names) + 10 * sum(x[0] == "." for x in names) + (tag != "*")
+        self.of.setdefault(min(names) if names else tag, []).append((weight, order, tag, names, says))
+
+    def says(self, tag: str, found: dict[str, str]) -> dict[str, str]:
+        own = {f".{x}" for x in found.get("class", "").split()}
+        if "id" in found:
+            own.add(f"#{found['id'].strip()}")
+        hits = [r for key in (*own, tag, "*") for r in self.of.get(key, ()) if r[2] in (tag, "*") and r[3] <= own]
+        out: dict[str, str] = {}
+        for *_, says in sorted(hits, key=lambda r: r[:2]):
+            out |= says
+        return out
 
 
 class Flow:
@@ -74,9 +137,12 @@ class Flow:
         if not self.started:
             if self.gap > 1 and self.lines:
                 self.lines.append("")
-            lead = "".join(self.indents)
+            deep = len(self.indents) - (self.mark is not None)
+            lead = "".join(self.indents[: min(deep, DEEPEST)])
+            if deep > DEEPEST:
+                lead += f"[{deep}] "
             if self.mark is not None:
-                lead = "".join(self.indents[:-1]) + self.mark
+                lead += self.mark
                 self.mark = None
             self.now, self.started, self.gap = [lead], True, 0
 
@@ -135,23 +201,38 @@ class Flow:
 
 
 class Table:
-    """Cells of a table, by row."""
+    """Cells of a table, by row and column. Only columns in which some cell starts are laid out."""
 
     def __init__(self) -> None:
-        self.rows: list[list[list[str]]] = []
-        self.spans = 1
+        self.rows: list[dict[int, list[str]]] = []
+        self.next = 0  # the column behind the last cell
+        self.taken: dict[int, int] = {}  # of columns that a cell above spans: the row that is free again
+
+    def row(self) -> None:
+        self.rows.append({})
+        self.next = 0
+
+    def add(self, cell: list[str], columns: int, rows: int) -> None:
+        at = len(self.rows) - 1
+        while self.taken.get(self.next, 0) > at:
+            self.next += 1
+        self.rows[-1][self.next] = cell
+        if rows > 1:
+            for k in range(self.next, self.next + columns):
+                self.taken[k] = at + rows
+        self.next += columns
 
     def lines(self) -> list[str]:
-        widths: list[int] = []
+        widths: dict[int, int] = {}
         for row in self.rows:
-            for k, cell in enumerate(row):
-                if k == len(widths):
-                    widths.append(0)
-                widths[k] = max(widths[k], min(WIDEST, max(map(len, cell), default=0)))
+            for k, cell in row.items():
+                widths[k] = max(widths.get(k, 0), min(WIDEST, max(map(len, cell), default=0)))
+        columns = sorted(widths)
         out = []
         for row in self.rows:
-            for y in range(max(map(len, row), default=0)):
-                parts = [(cell[y] if y < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)]
+            upto = [k for k in columns if k <= max(row, default=-1)]
+            for y in range(max(map(len, row.values()), default=0)):
+                parts = [(cell[y] if y < len(cell := row.get(k, [])) else "").ljust(widths[k]) for k in upto]
                 out.append("  ".join(parts).rstrip(" "))
         return out
 
@@ -159,10 +240,11 @@ class Table:
 class Open:
     """An open element."""
 
-    __slots__ = ("count", "flow", "hidden", "indented", "pre", "table", "tag")
+    __slots__ = ("count", "flow", "hidden", "indented", "pre", "seen", "spans", "table", "tag")
 
-    def __init__(self, tag: str, hidden: bool, pre: bool) -> None:
-        self.tag, self.hidden, self.pre = tag, hidden, pre
+    def __init__(self, tag: str, hidden: bool, seen: bool, pre: bool) -> None:
+        self.tag, self.hidden, self.seen, self.pre = tag, hidden, seen, pre
+        self.spans = (1, 1)  # columns and rows of a cell
         self.flow: Flow | None = None  # a cell's own
         self.table: Table | None = None
         self.count: int | None = None  # of an ordered list
@@ -170,7 +252,8 @@ class Open:
 
 
 class Renderer:
-    def __init__(self) -> None:
+    def __init__(self, rules: Rules | None = None) -> None:
+        self.rules = rules
         self.flows = [Flow()]
         self.tables: list[Table] = []
         self.stack: list[Open] = []
@@ -183,23 +266,29 @@ class Renderer:
             names, stops = IMPLIED[tag]
             self.close_through(names, stops)
         if tag in ("td", "th") and self.tables and not self.tables[-1].rows:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         top = self.stack[-1] if self.stack else None
-        hidden = bool(top and top.hidden) or tag in UNSEEN
+        hidden, seen = bool(top and top.hidden) or tag in UNSEEN, top is None or top.seen
         found = {}
         if rest and not hidden and not rest.isspace():
             for m in ATTRIBUTE.finditer(rest):
                 found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-            hidden = "hidden" in found or bool(HIDING.search(found.get("style", "")))
+        if not hidden:
+            says = self.rules.says(tag, found) if self.rules else {}
+            if "style" in found:
+                says = says | declared(found["style"])
+            hidden = "hidden" in found or says.get("display") == "none"
+            if "visibility" in says:
+                seen = says["visibility"] not in ("hidden", "collapse") and (says["visibility"] != "inherit" or seen)
         if tag == "br":
-            if not hidden:
+            if not hidden and seen:
                 self.flows[-1].forced()
             return
         if tag in VOID:
             if tag == "hr" and not hidden:
                 self.flows[-1].apart(1)
             return
-        own = Open(tag, hidden, bool(top and top.pre) or tag in ("pre", "textarea", "listing", "xmp"))
+        own = Open(tag, hidden, seen, bool(top and top.pre) or tag in ("pre", "textarea", "listing", "xmp"))
         self.stack.append(own)
         self.open[tag] = self.open.get(tag, 0) + 1
         if hidden:
@@ -226,12 +315,11 @@ class Renderer:
             own.table = Table()
             self.tables.append(own.table)
         elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif tag in ("td", "th") and self.tables:
             own.flow = Flow()
-            span = found.get("colspan", "1")
-            self.tables[-1].spans = min(100, int(span)) if re.fullmatch(r"[1-9]\d{0,5}", span) else 1
-            own.count = self.tables[-1].spans
+            number = lambda name, most: min(most, int(x)) if re.fullmatch(r"\d{1,9}", x := found.get(name, "1").strip()) else 1
+            own.spans = (max(1, number("colspan", MOST_COLUMNS)), number("rowspan", MOST_ROWS) or MOST_ROWS)
             self.flows.append(own.flow)
 
     def pop(self) -> None:
@@ -241,8 +329,7 @@ class Renderer:
             return
         if own.flow is not None:
             self.flows.pop()
-            self.tables[-1].rows[-1].append(own.flow.done())
-            self.tables[-1].rows[-1] += [[]] * ((own.count or 1) - 1)
+            self.tables[-1].add(own.flow.done(), *own.spans)
             return
         flow = self.flows[-1]
         if own.table is not None:
@@ -291,7 +378,7 @@ class Renderer:
     def text(self, text: str) -> None:
         top = self.stack[-1] if self.stack else None
         if top is not None:
-            if top.hidden:
+            if top.hidden or not top.seen:
                 return
             if top.tag in ("table", "tr", "tbody", "thead", "tfoot") and text.isspace():
                 return
@@ -309,7 +396,7 @@ class Renderer:
 def render(page: str) -> str:
     """The visible text of a page."""
     page = page.replace("\0", "")
-    out, at, size = Renderer(), 0, len(page)
+    out, at, size = Renderer(Rules(page) if "<style" in page.lower() else None), 0, len(page)
     while at < size:
         found = page.find("<", at)
         if found < 0:

@@ -494,12 +494,25 @@ def test_wrapped_headers_and_whole_licence_files(spark):
         ("<script>if (a<b) '</p>'</script>x<style>p{}</style>", "x"), ("<p hidden>no</p>yes<span style='DISPLAY : none'>no</span>", "yes"), ("<!-- a > b -->x<!doctype html>y<?php z ?>w", "xyw"),
         ("1 < 2 &lt; 3 &amp;amp;", "1 < 2 < 3 &amp;"), ("<title>no</title><textarea> a </textarea>", " a"), ("<blockquote>a<p>b</blockquote>", "> a\n\n> b"), ("a<p", "a"), ("</p>a</div>", "a"),
         ("<a title='x>y'>b</a>", "b"), ("<td>x", "x"), ("<h1>T</h1>x", "T\n\nx"), ("<noscript>no</noscript><select><option>o</select>y", "y"), ("\0a", "a"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2</table>", "x  y  z\n1     2"),
+        ("<table><tr><td colspan=900>a<tr><td>b<td>c</table>", "a\nb  c"), ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<div style='display:none'>no<b style='visibility:visible;display:block'>no</b></div>x", "x"), ("<style>.gone, p.b {color:red; display : none}</style><i class='x gone'>no</i><p class=b>no<p>yes", "yes"),
+        ("<style>#a{display:none}#a{display:block}.c{visibility:hidden}</style><p id=a>yes<p class=c>no<b style='visibility:visible'>seen</b>", "yes\n\nseen"),
+        ("<style>@media print{.p{display:none}} @media screen { .s { display:none } } /* .q{display:none} */ div .d{display:none}</style><p class=p>a<p class=s>no<p class=q>b<div><p class=d>c</div>", "a\n\nb\n\nc"),
+        ("<style media=print>p{display:none}</style><p>a", "a"), ("<p class=late>no<style>.late{display:none}</style>x", ""),
     ],
 )
 def test_render(page, text):
     assert html_text.render(page) == text
 
 
+def test_deep_lists_stay_in_proportion():
+    page = "<ul><li>x" * 4000
+    text = html_text.render(page)
+    assert text.split("\n")[0] == "* x" and text.split("\n")[16] == 32 * " " + "* x" and text.split("\n")[17] == 32 * " " + "[17] * x"
+    assert text.count("x") == 4000 and len(text) < 20 * len(page)
+
+
 def test_rendering_deep_and_long_pages():
     assert html_text.render("<div>" * 50_000 + "x") == "x"
     assert len(html_text.render("<p>word " * 50_000).split()) == 50_000

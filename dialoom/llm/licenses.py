@@ -5,7 +5,7 @@ Every line of the whole text that holds a cue (`licens`, `copyright`, ...) is a
 paragraph, a run of comment lines (a header) and the whole of a licence file. Distinct segments and the templates are token
 vectors, (1 + ln tf) * idf, with document frequencies over all distinct segments and templates; lines and blocks are two
 such collections, and blocks have the notices as templates too. Each segment's best template counts from a cosine of `least`
-(rounded to six digits; ties go to the smaller name). A file's own licence is its best segment's; n_segments counts its
+(rounded to six digits; ties go to the smaller name); what denies a licence ("not licensed under ...") matches none. A file's own licence is its best segment's; n_segments counts its
 lines, and one for a block that scores above them. Licence files give theirs to their directory (best score, then smallest path); a file without its own takes
 that of the nearest directory above it.
 
@@ -36,9 +36,11 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0-1.0": ["Licensed under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related rights to this work"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1"],
     "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3"],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
@@ -63,10 +65,14 @@ NOTICES = {
     "GPL-2.0": [GNU.format("General Public License", 2), (GNU + GNU_REST).format("General Public License", 2)],
     "GPL-3.0": [GNU.format("General Public License", 3), (GNU + GNU_REST).format("General Public License", 3)],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": [GNU.format("Lesser General Public License", 2.1), (GNU + GNU_REST).format("Lesser General Public License", 2.1)],
     "LGPL-3.0": [GNU.format("Lesser General Public License", 3), (GNU + GNU_REST).format("Lesser General Public License", 3)],
     "MIT": [MIT, MIT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software." + AS_IS],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
+# What says that a licence doesn't hold; in blocks only up to DENIED_WORDS words, as whole licences say much.
+DENIAL = r"\b(not|never|no longer) (be )?(licensed|released|available|covered)\b"
+DENIED_WORDS = 40
 COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|rem\b|dnl\b)"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -117,7 +123,8 @@ def classify_segments(segments: DataFrame, templates: dict[str, list[str]], leas
     idf = materialise(idf, "idf")
     near = weights(theirs, "form", idf).join(forms.select("form", "license"), "form").withColumnRenamed("weight", "theirs")
     dots = weights(ours, "segment", idf).join(F.broadcast(near), "token").groupBy("segment", "form", "license").agg(F.round(F.sum(F.col("weight") * F.col("theirs")), 6).alias("score"))
-    best = dots.where(F.col("score") >= least).groupBy("segment").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
+    denied = segments.where((F.size(F.split("words", " ")) <= DENIED_WORDS) & F.col("words").rlike(DENIAL)).select("segment")
+    best = dots.where(F.col("score") >= least).join(denied, "segment", "left_anti").groupBy("segment").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
     return best.select("segment", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score"))
 
 
@@ -189,7 +196,7 @@ w AS (SELECT kind, k, token, (1 + ln(tf)) * idf AS w FROM v JOIN idf USING (toke
 n AS (SELECT kind, k, sqrt(sum(w * w)) AS n FROM w GROUP BY ALL),
 u AS (SELECT kind, k, token, w / n AS w FROM w JOIN n USING (kind, k)),
 dots AS (SELECT s.k AS segment, license, form, round(sum(s.w * t.w), 6) AS score FROM u s JOIN u t ON s.token = t.token AND s.kind = 's' AND t.kind = 't' JOIN forms ON form = t.k GROUP BY ALL),
-best AS (SELECT segment, license, score FROM dots WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score DESC, license) = 1),
+best AS (SELECT segment, license, score FROM dots WHERE score >= 0.7 AND NOT (len(string_split(segment, ' ')) <= {DENIED_WORDS} AND regexp_matches(segment, {quote(DENIAL)})) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score DESC, license) = 1),
 own AS (SELECT doc_id, license AS own_license, score AS own_score, n_segments FROM (SELECT doc_id, license, score, count(*) OVER (PARTITION BY doc_id) AS n_segments, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM l JOIN best USING (segment)) WHERE r = 1),
 r AS (SELECT f.doc_id, path, gives, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, own_score, coalesce(n_segments, 0) AS n_segments FROM f LEFT JOIN own USING (doc_id)),
 given AS (SELECT dir AS above, own_license AS given FROM r WHERE gives AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1),

@@ -477,8 +477,13 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/.\nimport os"
     bsd = "Copyright (c) 2020, Some Body\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
     files = [("a.c", gpl), ("b.py", mpl), ("lib/LICENSE", bsd), ("lib/x.py", "code"), ("c.py", "the licence of this poem\nis not one of those"), ("d.py", gpl.replace("version 3", "version 2"))]
+    lesser = gpl.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    eclipse = "// This program and the accompanying materials are made\n// available under the terms of the Eclipse Public License 2.0\n// which is available at https://www.eclipse.org/legal/epl-2.0/\ncode"
+    files += [("e.c", lesser), ("f.c", eclipse), ("g.py", "# Not licensed under the MIT License."), ("h.txt", "Licensed under the GNU Lesser General Public License, version 2.1")]
     rows = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()
-    assert {r.path: r.license for r in rows} == {"a.c": "GPL-3.0", "b.py": "MPL-2.0", "lib/LICENSE": "BSD-2-Clause", "lib/x.py": "BSD-2-Clause", "c.py": None, "d.py": "GPL-2.0"}
+    found = {r.path: r.license for r in rows}
+    assert [found.pop(k) for k in ("e.c", "f.c", "g.py", "h.txt")] == ["LGPL-2.1", "EPL-2.0", None, "LGPL-2.1"]
+    assert found == {"a.c": "GPL-3.0", "b.py": "MPL-2.0", "lib/LICENSE": "BSD-2-Clause", "lib/x.py": "BSD-2-Clause", "c.py": None, "d.py": "GPL-2.0"}
 
 
 # HTML

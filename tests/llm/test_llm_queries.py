@@ -44,3 +44,67 @@ def test_stages_keep_the_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """All stages over rows with null and repeated ids, null texts, copies and contaminated texts, against brute force."""
+    import re
+    from collections import Counter
+
+    words = [f"w{k}" for k in range(120)]
+    item = " ".join(f"q{k}" for k in range(20))
+    near = " ".join([*words[:-1], "other"])
+    texts = [
+        (1, " ".join(words)), (2, near), (3, " ".join(words)), (None, " ".join(words)), (4, "alone and clean " * 3), (4, "the same id but another text"), (4, "the same id but another text"),
+        (5, f"x y {item} z"), (None, f"no id {item}"), (None, "clean without id"), (6, None), (7, None), (8, ""), (9, "a " * 400 + item), (10, "!!! $$$ " * 30), (11, "JUNK!! " * 40),
+    ]
+    labels = [(k, int(k % 2 == 0), 0) for k in range(100, 180)]
+    texts += [(k, f"fine words number {k} stand here in a row and end well ." if good else f"!!! $$$ {k} " * 30) for k, good, _ in labels]
+    for name, rows, schema in (
+        ("documents", [(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long"),
+        ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, item), (2, None)], "item_id long, text string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    # quality: a text's verdict is that of all rows with it
+    folder = str(tmp_path)
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, folder)
+    good = {r.text for r in kept.collect()}
+    left = [(i, t) for i, t in texts if t in good]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(left) and 0 < len(left) < len(texts)
+
+    # near-duplicates: rows linked by id and text, one of each group stays, rows without id stay
+    sets = [frozenset(neardup.shingles((t or "").encode()).tolist()) if i is not None else frozenset() for i, t in left]
+    group = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for k, (i, _) in enumerate(left):
+        if sets[k] and (group[k] not in best or i < left[best[group[k]]][0]):
+            best[group[k]] = k
+    expected = Counter(x for k, x in enumerate(left) if not sets[k] or best[group[k]] == k)
+    once = corpus_pipeline.STAGES[1][1](spark, kept, folder)
+    found = Counter((r.doc_id, r.text) for r in once.collect())
+    assert sum(found.values()) == sum(expected.values())
+    assert {i for i, _ in found} == {i for i, _ in expected}
+
+    # decontamination: thirteen words in a row
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    windows = {tuple(cut(item)[k : k + 13]) for k in range(8)}
+
+    def dirty(t):
+        w = cut(t)
+        hit = {k + j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(13)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = corpus_pipeline.STAGES[2][1](spark, once, folder)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter({x: n for x, n in found.items() if not dirty(x[1])})
+
+    # packing: every document's ids once
+    own = packing.encoder()
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in clean.collect())
+    assert sum(r.length for r in packed) == sum(len(own.encode(r.text or "")) + 1 for r in clean.collect())

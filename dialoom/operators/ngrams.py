@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,12 +41,22 @@ def tokens(text: Column, punctuation: bool = True) -> Column:
 
 
 def ngrams(df: DataFrame, order: str, text: str, least: int = 3, most: int = 5, stop_limit: int = 1, punct_limit: int = 1, punctuation: bool = True) -> DataFrame:
-    """n, ngram and pos (order of appearance: text, n, place), one row an occurrence."""
+    """n, ngram and pos (order of appearance: text, n, place), one row an occurrence.
+
+    Words are marked once; then each place is a row of generated code that sums the marks of its words.
+    """
     cut = df.select(F.col(order).alias("o"), tokens(F.col(text), punctuation).alias("t")).where(F.size("t") >= least)
-    every = cut.select("o", "t", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("n")).where(F.size("t") >= F.col("n"))
-    grams = every.select("o", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.slice("t", i, F.col("n")))).alias("place", "ngram"))
-    held = lambda words: F.size(F.filter("ngram", lambda w: w.isin(words)))
-    return grams.where((held(STOPWORDS) <= stop_limit) & (held(PUNCTUATION) <= punct_limit)).select("n", "ngram", F.struct("o", "place").alias("pos"))
+    marks = lambda words: F.transform("t", lambda w: w.isin(words).cast("int"))
+    marked = cut.select("o", "t", marks(STOPWORDS).alias("stops"), marks(PUNCTUATION).alias("marks"))
+    places = marked.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - least)).alias("place"))
+
+    def gram(n: int) -> Column:
+        total = lambda of: reduce(operator.add, (F.get(of, F.col("place") + k) for k in range(n)))
+        fits = (F.col("place") + n <= F.size("t")) & (total("stops") <= stop_limit) & (total("marks") <= punct_limit)
+        return F.when(fits, F.struct(F.lit(n).alias("n"), F.slice("t", F.col("place") + 1, n).alias("ngram")))
+
+    every = places.select("o", "place", F.explode(F.array(*map(gram, range(least, most + 1)))).alias("g")).where("g is not null")
+    return every.select("g.n", "g.ngram", F.struct("o", "place").alias("pos"))
 
 
 def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: str = "_pos") -> DataFrame:

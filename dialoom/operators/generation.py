@@ -147,8 +147,7 @@ def captioned(images: DataFrame, captioner: ImageCaptioner, prompts: Sequence[st
     """key, index, prompt, temperature and caption of the images that `done` lacks.
 
     Indices go on behind those that are done, along the key. Prompts come from a queue that is shuffled, used up and filled
-    again; temperatures are drawn by the key, to two digits. No more rows than prompts times rounds are held: the queue is an
-    array of one round for each of 64 seeds.
+    again, 64 rounds of it, after which it starts over; temperatures are drawn by the key, to two digits.
     """
     from dialoom.operators.reshape import numbered
 

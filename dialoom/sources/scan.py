@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -197,9 +198,10 @@ def dataset_roots(spark: SparkSession, *parents: str, ignored: list[str] = IGNOR
         paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(parent).select("path").where(~F.col("path").rlike("/(" + "|".join(x.replace(".", r"\.") for x in ignored) + ")/"))
         meta = paths.where(F.col("path").endswith("/metadata.jsonl")).select(F.regexp_replace("path", "/metadata\\.jsonl$", "").alias("root"))
         images = paths.where(F.contains("path", F.lit("/images/"))).select(F.regexp_extract("path", "^(.*?)/images/[^/]*$", 1).alias("root")).distinct()
-        own = meta.join(images, "root", "left_semi").withColumn("_parent", F.lit(k))
-        itself = own.where(F.regexp_replace("root", "^file:/*", "/") == F.lit(parent.removeprefix("file:").rstrip("/"))).select("_parent")
-        own = own.join(itself.withColumnRenamed("_parent", "_p"), F.col("_parent") == F.col("_p"), "left").where(F.col("_p").isNull() | (F.regexp_replace("root", "^file:/*", "/") == F.lit(parent.removeprefix("file:").rstrip("/")))).drop("_p")
+        itself = F.regexp_replace("root", "^file:/*", "/") == re.sub("^file:/*", "/", parent).rstrip("/")
+        own = meta.join(images, "root", "left_semi").select("root", F.lit(k).alias("_parent"), itself.alias("_itself"))
+        alone = own.agg(F.coalesce(F.bool_or("_itself"), F.lit(False)).alias("_alone"))  # one row
+        own = own.join(F.broadcast(alone)).where(~F.col("_alone") | F.col("_itself")).select("root", "_parent")
         found = own if found is None else found.union(own)
     return found.groupBy("root").agg(F.min("_parent").alias("_parent")).select("root", F.col("_parent").alias("_pos"))
 

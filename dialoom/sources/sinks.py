@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -160,9 +161,18 @@ def write_splits(splits: dict[str, DataFrame], folder: str, name: str) -> list[s
     return made
 
 
+def mounted(path: str) -> str:
+    """A folder's path for Python's own files: without its scheme if that is file, else there is none."""
+    found = re.sub(r"^file:/*", "/", path)
+    if "://" in found:
+        raise ValueError(f"files of their own need a folder that all executors mount, not {path}")
+    return found
+
+
 def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
-    """A file of its own for each row, in a folder that all executors share. Returns name and bytes. A task that runs again
+    """A file of its own for each row, in a folder that all executors mount. Returns name and bytes. A task that runs again
     writes the same files again."""
+    folder = mounted(folder)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)

@@ -10,7 +10,6 @@ from dialoom.functions.storage import written
 from dialoom.functions.text import fuzzy_ratio, strip
 from dialoom.functions.turns import CANONICAL, TURNS, map_role, turn
 
-PAIRS = "array<struct<role:string,content:string>>"
 # The turn of rows without any, and the marks of ChatML.
 SENTINEL = "No conversations found."
 CHATML = r"(?s)<\|im_start\|>([^\n]+)\n(.*?)<\|im_end\|>"

@@ -45,9 +45,14 @@ def any_turn(test: str, t: str = "t") -> str:
     return f"len(list_filter({t}, lambda x: {test})) > 0"
 
 
+def read_alike(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The SQL's rows, with capitals as DuckDB makes them."""
+    c = table(spark, sf_dir, "conversations").withColumn("raised", T.capitals("text"))
+    return spark.sql(sql.replace("FROM conversations", "FROM {c}").replace("upper(text)", "raised"), c=c)
+
+
 def defective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(DEFECTS.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
-    return nest(rows)
+    return nest(read_alike(spark, sf_dir, DEFECTS))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +341,7 @@ SELECT conv_id, len(t) AS n, {SAID.format('t')} AS said FROM f WHERE len(c) >= 2
 
 @REG.query("fix_messages", FIXED)
 def fix_messages(spark, sf_dir):
-    rows = spark.sql(MESSY.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
+    rows = read_alike(spark, sf_dir, MESSY)
     order = F.array_sort(F.collect_list(F.struct("place", "role", "text")))
     m = rows.groupBy("conv_id").agg(order.alias("m")).select("conv_id", F.transform("m", lambda x: repair.message(x["role"], x["text"])).alias("m"))
     return shown_messages(m.withColumn("t", repair.fix("m")), "t")

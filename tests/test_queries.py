@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import shutil
+
 import numpy as np
 import pytest
 from checks import same_rows
@@ -42,6 +45,15 @@ def test_formats_are_read_from_all_turns(spark, tmp_path):
     assert {r.conv_id: r.format for r in found} == {0: "sharegpt", 4: "chatml"}
 
 
+@pytest.mark.parametrize("name", ["canonical_turns", "complete_turns", "duplicate_system", "exact_dedup_conversations", "filter_composite", "fix_messages", "message_roundtrip"])
+def test_capitals_are_alike_on_both_engines(spark, tmp_path, name):
+    rows = [(k, t, ("user", "assistant")[t % 2], f"Straße ŉ ǰ ΐ ᾳ ﬁ \u019b \U00010d70 é {t}.") for k in (2, 17, 32, 107) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    os.rename(next(tmp_path.glob("parts/*.parquet")), tmp_path / "conversations.parquet")
+    shutil.rmtree(tmp_path / "parts")
+    same_rows(spark, str(tmp_path), ALL[name], SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 

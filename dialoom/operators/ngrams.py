@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialoom.functions.storage import written
 from dialoom.functions.text import collapse, word_tokens
 
 # The English stop words of the n-gram filter, and five that are added.
@@ -40,25 +41,68 @@ def tokens(text: Column, punctuation: bool = True) -> Column:
     return word_tokens(prepared(text), punctuation)
 
 
+def _places(df: DataFrame, order: str, text: str, least: int, punctuation: bool) -> DataFrame:
+    """A row for each place at which an n-gram may begin: o, place, and the text's words (t), their hashes and marks."""
+    cut = df.select(F.col(order).alias("o"), tokens(F.col(text), punctuation).alias("t")).where(F.size("t") >= least)
+    marks = lambda words: F.transform("t", lambda w: w.isin(words).cast("int"))
+    marked = cut.select("o", "t", marks(STOPWORDS).alias("stops"), marks(PUNCTUATION).alias("marks"), F.transform("t", lambda w: F.xxhash64(w)).alias("hashes"))
+    return marked.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - least)).alias("place"))
+
+
+def _fits(n: int, stop_limit: int, punct_limit: int) -> Column:
+    total = lambda of: reduce(operator.add, (F.get(of, F.col("place") + k) for k in range(n)))
+    return (F.col("place") + n <= F.size("t")) & (total("stops") <= stop_limit) & (total("marks") <= punct_limit)
+
+
 def ngrams(df: DataFrame, order: str, text: str, least: int = 3, most: int = 5, stop_limit: int = 1, punct_limit: int = 1, punctuation: bool = True) -> DataFrame:
     """n, ngram and pos (order of appearance: text, n, place), one row an occurrence.
 
     Words are marked once; then each place is a row of generated code that sums the marks of its words.
     """
-    cut = df.select(F.col(order).alias("o"), tokens(F.col(text), punctuation).alias("t")).where(F.size("t") >= least)
-    marks = lambda words: F.transform("t", lambda w: w.isin(words).cast("int"))
-    marked = cut.select("o", "t", marks(STOPWORDS).alias("stops"), marks(PUNCTUATION).alias("marks"))
-    places = marked.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - least)).alias("place"))
+    places = _places(df, order, text, least, punctuation)
 
     def gram(n: int) -> Column:
-        total = lambda of: reduce(operator.add, (F.get(of, F.col("place") + k) for k in range(n)))
-        fits = (F.col("place") + n <= F.size("t")) & (total("stops") <= stop_limit) & (total("marks") <= punct_limit)
-        return F.when(fits, F.struct(F.lit(n).alias("n"), F.slice("t", F.col("place") + 1, n).alias("ngram")))
+        return F.when(_fits(n, stop_limit, punct_limit), F.struct(F.lit(n).alias("n"), F.slice("t", F.col("place") + 1, n).alias("ngram")))
 
     every = places.select("o", "place", F.explode(F.array(*map(gram, range(least, most + 1)))).alias("g")).where("g is not null")
     return every.select("g.n", "g.ngram", F.struct("o", "place").alias("pos"))
 
 
+def frequent_ngrams(df: DataFrame, order: str, text: str, k: int = 10, least: int = 3, most: int = 5, stop_limit: int = 1, punct_limit: int = 1, punctuation: bool = True, buckets: int = 1 << 18, tried: int = 64) -> DataFrame:
+    """As top_ngrams(ngrams(...)), exactly, without moving all n-grams.
+
+    All occurrences are counted by a hash of the n-gram first, into `buckets` for each n; no n-gram occurs more often than its
+    bucket. The n-grams of the `tried` fullest buckets are counted one by one. The k-th of them bounds the result from below,
+    so only other buckets that reach it can hold more of it, and all of those are counted, too, however many they are.
+    """
+    places = _places(df, order, text, least, punctuation)
+
+    def occurrences() -> DataFrame:
+        def gram(n: int) -> Column:
+            h = F.xxhash64(*(F.get("hashes", F.col("place") + i) for i in range(n)))
+            return F.when(_fits(n, stop_limit, punct_limit), F.struct(F.lit(n).alias("n"), h.bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")))
+
+        every = places.select("o", "t", "place", F.explode(F.array(*map(gram, range(least, most + 1)))).alias("g"))
+        return every.where("g is not null").select("o", "t", "place", "g.n", "g.bucket")
+
+    def counted(some: DataFrame) -> DataFrame:
+        own = occurrences().join(F.broadcast(some), ["n", "bucket"])
+        grams = own.select("n", F.expr("slice(t, place + 1, n)").alias("ngram"), F.struct("o", "place").alias("pos"))
+        return written(grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")), "ngram-counts")
+
+    full = written(occurrences().groupBy("n", "bucket").agg(F.count("*").alias("most")), "ngram-buckets")
+    sizes = range(least, most + 1)
+    fullest = [(n, r.bucket) for n in sizes for r in full.where(F.col("n") == n).orderBy(F.desc("most"), "bucket").limit(tried).collect()]
+    first = df.sparkSession.createDataFrame(fullest, "n int, bucket int")
+    found = counted(first)
+    bound = {n: [r.cnt for r in found.where(F.col("n") == n).orderBy(F.desc("cnt")).limit(k).collect()] for n in sizes}
+    reached = reduce(operator.or_, ((F.col("n") == n) & (F.col("most") >= (c[-1] if len(c) == k else 1)) for n, c in bound.items()))
+    others = written(full.where(reached).join(F.broadcast(first), ["n", "bucket"], "left_anti").select("n", "bucket"), "ngram-others")
+    if others.limit(1).count():
+        found = found.union(counted(others))
+    return _ranked(found, k)
+
+
 def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: str = "_pos") -> DataFrame:
     """o (conversation and turn, in order) and text of the turns of these roles, whatever their case; all without roles."""
     each = df.select(F.col(order).alias("c"), F.posexplode(turns).alias("k", "t")).where("t.value is not null")
@@ -68,7 +112,10 @@ def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: st
 
 def top_ngrams(grams: DataFrame, k: int = 10) -> DataFrame:
     """n, ngram, cnt and rank; ties go to the first to appear."""
-    counted = grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos"))
+    return _ranked(grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")), k)
+
+
+def _ranked(counted: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cnt"), "pos"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("n", F.array_join("ngram", " ").alias("ngram"), "cnt", "rank")
 

@@ -204,6 +204,16 @@ def test_ngrams(spark):
     assert row.a == ["i", '"', "ll", "go", ";", "it", '"', "s", "ok"]
 
 
+@pytest.mark.parametrize(("buckets", "tried"), [(1, 1), (4, 1), (16, 2), (1 << 18, 64)])
+def test_frequent_ngrams_are_those_of_all_counts(spark, buckets, tried):
+    """Full buckets may hold rare n-grams only, ties go to the first to appear, and texts may hold few n-grams or none."""
+    said = ["a1 b1 c1 d1"] * 3 + ["x y z , w"] * 3 + [" ".join(f"w{k * k % 31}" for k in range(j, j + 40)) for j in range(4)] + ["", None, "one two"]
+    for rows in (said, ["one two three"], [""]):
+        texts = spark.createDataFrame(list(enumerate(rows)), "o int, t string")
+        expected = sorted(map(tuple, ngrams.top_ngrams(ngrams.ngrams(texts, "o", "t"), 5).collect()))
+        assert sorted(map(tuple, ngrams.frequent_ngrams(texts, "o", "t", 5, buckets=buckets, tried=tried).collect())) == expected
+
+
 def test_percentiles(spark):
     row = stats.percentiles(spark.createDataFrame([(5,), (10,), (10,), (40,)], "n int"), "n").first()
     assert [row[f"p{k}"] for k in (10, 25, 50, 75, 90, 95, 99, 100)] == [6.5, 8.75, 10, 17.5, 31, 35.5, 39.1, 40]

@@ -100,7 +100,7 @@ def frequent_ngrams(df: DataFrame, order: str, text: str, k: int = 10, least: in
     others = written(full.where(reached).join(F.broadcast(first), ["n", "bucket"], "left_anti").select("n", "bucket"), "ngram-others")
     if others.limit(1).count():
         found = found.union(counted(others))
-    return _ranked(found, k)
+    return ranked(found, k)
 
 
 def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: str = "_pos") -> DataFrame:
@@ -112,10 +112,10 @@ def said_by(df: DataFrame, turns: str, roles: list[str] | None = None, order: st
 
 def top_ngrams(grams: DataFrame, k: int = 10) -> DataFrame:
     """n, ngram, cnt and rank; ties go to the first to appear."""
-    return _ranked(grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")), k)
+    return ranked(grams.groupBy("n", "ngram").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")), k)
 
 
-def _ranked(counted: DataFrame, k: int) -> DataFrame:
+def ranked(counted: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cnt"), "pos"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("n", F.array_join("ngram", " ").alias("ngram"), "cnt", "rank")
 

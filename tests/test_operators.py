@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import random
 import struct
 import time
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import hashing as H
 from dialoom.functions import text as T
 from dialoom.functions.turns import TURNS
-from dialoom.operators import dedup, filters, formats, ngrams, plugins, repair, reshape, stats
+from dialoom.operators import dedup, filters, formats, ngrams, plugins, recency, repair, reshape, stats
 from dialoom.sources import scan, sinks
 from dialoom.streaming import dedup as stream
 
@@ -204,6 +206,46 @@ def test_ngrams(spark):
     assert row.a == ["i", '"', "ll", "go", ";", "it", '"', "s", "ok"]
 
 
+@pytest.mark.parametrize(("window", "threshold", "chunk_bytes", "tried"), [(50, 0.85, 1 << 22, 64), (50, 0.85, 60, 1), (4, 0.85, 200, 2), (50, 0.7, 60, 1), (3, 0.4, 100, 64), (0, 0.85, 60, 64)])
+def test_recent_ngrams_are_those_of_one_walk(spark, window, threshold, chunk_bytes, tried):
+    """Wherever the walk is cut: also where chunks keep nothing, so that their state is that of chunks long before."""
+    draw = random.Random(3)
+    said = [" ".join(draw.choice("abcdefgh") + draw.choice("xyz,") for _ in range(draw.randrange(60))) for _ in range(60)] + ["one two three four five six"] * 30 + ["r s r s r s r s t u v w"] * 9 + ["", None, "one two", "é ß ñ ô one two three"]
+    for rows in (said, said[::-1]) if chunk_bytes > 60 else (said, ["one two three"], [""]):
+        texts = spark.createDataFrame(list(enumerate(rows)), "o int, t string").repartition(3)
+        expected = sorted(map(tuple, ngrams.top_ngrams(ngrams.with_recency(ngrams.ngrams(texts, "o", "t"), window, threshold), 5).collect()))
+        found = recency.recent_ngrams(texts, "o", "t", 5, window=window, threshold=threshold, buckets=1024, tried=tried, chunk_bytes=chunk_bytes)
+        assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_walks_by_hashes_and_by_sets_keep_the_same():
+    draw = np.random.default_rng(5)
+    for kinds, window in ((3, 2), (40, 50), (60, 50), (400, 50), (1, 1), (7, 0)):
+        codes = draw.integers(0, kinds, 3000)
+        for before in ([], list(range(kinds))[:window]):
+            every = np.concatenate([before, codes]).astype(np.int64)
+            kept, dropped, by = recency.equal_walk(draw.permutation(1 << 12).astype(np.uint64)[every] << np.uint64(40), len(before), window)
+            sets = [frozenset([x]) for x in every.tolist()]
+            assert kept[len(before) :].tolist() == recency.plain_walk(sets[len(before) :], sets[: len(before)], window, 0.85, True).tolist()
+            assert sorted(dropped.tolist()) == np.flatnonzero(~kept).tolist() and (every[dropped] == every[by]).all() and kept[by].all()
+
+
+def test_recency_moves_no_ngrams(spark):
+    """Texts move once, for their order; n-grams would be ten times as much."""
+    draw, context = random.Random(7), spark.sparkContext
+    word = lambda: "".join(draw.choices("bcdfgklmnprtvz", k=6))
+    said = [" ".join(word() for _ in range(6)) for _ in range(10)]
+    rows = [(k, " ".join([word() for _ in range(150)] + said)) for k in range(400)]
+
+    def moved():
+        every = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(every.apply(k).shuffleWriteBytes() for k in range(every.size()))
+
+    before = moved()
+    found = recency.recent_ngrams(spark.createDataFrame(rows, "o int, t string"), "o", "t", buckets=1024).collect()
+    assert len(found) == 30 and {r.cnt for r in found} == {400} and moved() - before < 2 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize(("buckets", "tried"), [(1, 1), (4, 1), (16, 2), (1 << 18, 64)])
 def test_frequent_ngrams_are_those_of_all_counts(spark, buckets, tried):
     """Full buckets may hold rare n-grams only, ties go to the first to appear, and texts may hold few n-grams or none."""

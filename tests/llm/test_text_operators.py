@@ -296,6 +296,18 @@ def test_language_model_edges(spark):
     assert language_model.score_documents(documents(spark, [])).count() == 0
 
 
+def test_lm_later_round_is_run_and_raises_the_held_out_score(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def held_out(**training):
+        own = language_model.score_documents(docs, **training).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+        return own[0] / own[1]
+
+    assert held_out() > held_out(rounds=1) + 0.001
+
+
 def fitted(texts, sizes=language_model.Sizes(64, 16, 1024), rounds=2):
     """The model of a list of texts, without Spark."""
     texts = [language_model.tokens(x.encode()) for x in texts]

@@ -17,6 +17,10 @@ log((seen + prior) / (expected + prior)), times its feature's rate. At zero weig
 alone, so the first round needs no softmax. The later ones (one by default) correct what features say twice; their prior is
 stronger, so that they raise the held-out score, too. Expected tokens are summed in whole steps of 2**-12, so a fit doesn't depend on how rows fall into tasks.
 
+Texts become ids a batch at a time: passes over their bytes find the words, one hashed lookup those of the vocabulary, and
+the others are hashed all of a length at once, so that no step of Python is taken for a word. Sums of expected tokens go by
+pairs of children, whose whole numbers share a float without touching.
+
 Scoring runs over Arrow batches: sparse rows are gathered for thousands of tokens at once. Words outside the vocabulary get
 their counts by a shuffled join, so no table of all words is ever held in memory.
 
@@ -29,20 +33,19 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import byte_texts, materialise, mix64, on_texts, shuffle_partitions, sliced
+from dialoom.llm.common import materialise, mix64, on_texts, shuffle_partitions, sliced
 
 END = b""
 BEFORE = 3
-FLUSH = 400_000
 WIDE = 16  # children of a class
 RATES = (0.7, 0.5, 0.35)  # of the first round, for bigram, trigram and skip rows
 LATER = 0.7  # share of these in later rounds
@@ -53,6 +56,9 @@ RARE_CONTEXTS = 1 << 16
 LEAST_ROWS = 1 << 16
 BATCH = 1 << 12
 PART = 1 << 13  # steps whose shares stay in a core's cache
+HALF = WIDE // 2
+PAIR = 1 << 26  # the place of the second of two sums that share a float, which holds whole numbers below 2**53
+OFTEN = PAIR // STEP  # a row seen as often could fill the first place
 BLOCK = 1024
 
 
@@ -71,19 +77,9 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     """word and c over all training tokens."""
 
     def count(batches):
-        seen: Counter[bytes] = Counter()
-
-        def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return rows
-
-        for batch in sliced(batches, 0):
-            for text in byte_texts(batch.column(0)):
-                seen.update(tokens(text))
-                if len(seen) > FLUSH:
-                    yield out()
-        yield out()
+        for texts in gathered(batches, 0, 1 << 23):
+            found = split(texts).array().dictionary_encode()
+            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)))], names=["word", "c"])
 
     return on_texts(train.select(text_col), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -106,6 +102,110 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def word_hashes(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """word_hash of the words of `sizes` bytes from `first` on; those below 32 bytes, all of a size at once."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    out = np.empty(len(first), np.uint64)
+    order = np.argsort(sizes, kind="stable")
+    edges = np.flatnonzero(np.diff(sizes[order])) + 1
+    for own in np.split(order, edges) if len(order) else ():
+        size = int(sizes[own[0]])
+        if size >= 32:
+            out[own] = [word_hash(letters[a : a + n].tobytes()) for a, n in zip(first[own].tolist(), sizes[own].tolist(), strict=True)]
+            continue
+        data = letters[first[own][:, None] + np.arange(size)]
+        h = np.full(len(own), 42 + int(five) + size, np.uint64)
+        at = 0
+        for at in range(8, size + 1, 8):
+            lane = np.ascontiguousarray(data[:, at - 8 : at]).view("<u8")[:, 0]
+            h = _turned(h ^ (_turned(lane * two, 31) * one), 27) * one + four
+        if size - at >= 4:
+            lane = np.ascontiguousarray(data[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
+            h = _turned(h ^ (lane * one), 23) * two + three
+            at += 4
+        for k in range(at, size):
+            h = _turned(h ^ (data[:, k].astype(np.uint64) * five), 11) * one
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        out[own] = h ^ (h >> np.uint64(32))
+    return out
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@dataclass
+class Words:
+    """The tokens of some texts, one behind the other, as places in their letters."""
+
+    letters: np.ndarray
+    offsets: np.ndarray  # int32, one more than tokens
+    sizes: np.ndarray  # tokens of each text
+
+    def array(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(self.offsets) - 1, [None, pa.py_buffer(self.offsets), pa.py_buffer(self.letters)])
+
+    def ids(self, vocabulary: pa.Array) -> np.ndarray:
+        """What _Ids gives for each token."""
+        found = pc.index_in(self.array(), value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+        other = np.flatnonzero(found < 0)
+        first = self.offsets[other].astype(np.int64)
+        hashes = word_hashes(self.letters, first, self.offsets[other + 1] - first)
+        found[other] = len(vocabulary) + (hashes % np.uint64(RARE_CONTEXTS)).astype(np.int64)
+        return found
+
+
+def split(texts: pa.Array) -> Words:
+    """tokens() of every text of a column, null being empty, in a few passes over all of their bytes."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    _, edges, body = texts.buffers()
+    edges = np.frombuffer(edges, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    body = np.frombuffer(body, np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    edges -= edges[0]
+    ink = ~SPACE[body]
+    cut = np.ones(len(body) + 1, bool)  # is there a bound before this byte?
+    np.logical_not(ink, out=cut[1:])
+    cut[edges] = True
+    begins = np.flatnonzero(ink & cut[:-1])
+    cut[:-1] |= ~ink
+    ends = np.flatnonzero(ink & cut[1:]) + 1
+    words = np.diff(np.searchsorted(begins, edges))
+    lengths = np.zeros(len(begins) + len(texts), np.int32)
+    lengths[np.arange(len(begins)) + np.repeat(np.arange(len(texts)), words)] = ends - begins
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return Words(LOWER[body[ink]], offsets, words + 1)
+
+
+def times_in_texts(words: Words, which: np.ndarray) -> pa.Array:
+    """For each text, every different word among these tokens and how many of them it is."""
+    found = words.array().take(pa.array(which)).dictionary_encode()
+    n = max(1, len(found.dictionary))
+    text = np.repeat(np.arange(len(words.sizes)), words.sizes)[which]
+    pairs, times = np.unique(text * n + found.indices.to_numpy(), return_counts=True)
+    rows = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pairs % n)), pa.array(times, pa.int32())], names=["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(words.sizes) + 1) * n), pa.int32()), rows)
+
+
+def gathered(batches, column: int, most_bytes: int = 1 << 22):
+    """The texts of a column in arrays of about most_bytes."""
+    held, size = [], 0
+    for batch in sliced(batches, column, most_bytes):
+        held.append(batch.column(column).cast(pa.binary()))
+        size += held[-1].nbytes
+        if size >= most_bytes:
+            yield pa.concat_arrays(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 class _Ids(dict):
     """Ids of vocabulary words; other words get one of the rare contexts behind them."""
 
@@ -194,10 +294,15 @@ def start_model(head: list[tuple[bytes, int]], buckets: list[tuple[int, int]], t
 def laid_out(texts: list[list[bytes]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each behind BEFORE starting marks (-1), and the places of real tokens."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return placed(np.fromiter(map(ids.__getitem__, (w for x in texts for w in x)), np.int64, int(sizes.sum())), sizes)
+
+
+def placed(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As laid_out, from the ids of all tokens and the number of each text."""
     starts = np.cumsum(sizes + BEFORE) - sizes
     out = np.full(int((sizes + BEFORE).sum()), -1, np.int64)
-    real = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    out[real] = np.fromiter(map(ids.__getitem__, (w for x in texts for w in x)), np.int64, len(real))
+    real = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
+    out[real] = ids
     return out, real
 
 
@@ -221,9 +326,10 @@ def decisions(model: Model, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 
 def shares(model: Model, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """The unnormalised shares of each class's children under the weights; logits stay far from a float's limits."""
-    logits = model.base[node]
+    logits = np.take(model.base, node, axis=0, mode="clip")  # all places are there; without clip, take with out copies
+    own = np.empty_like(logits)
     for w, r in zip(model.weights, rows, strict=True):
-        logits += w[r]
+        logits += np.take(w, r, axis=0, out=own, mode="clip")
     return np.exp(logits, out=logits)
 
 
@@ -238,6 +344,18 @@ def log_probabilities(model: Model, ids: np.ndarray, at: np.ndarray) -> np.ndarr
     return out
 
 
+def pair_sums(columns: np.ndarray, r: np.ndarray, n: int, often: bool):
+    """The sums of both numbers of each column by r; those of a number that occurs often are added up apart."""
+    for column in columns:
+        if often:
+            second = np.floor(column / PAIR)
+            yield np.bincount(r, column - second * PAIR, n), np.bincount(r, second, n)
+        else:
+            both = np.bincount(r, column, n)
+            second = np.floor(both / PAIR)
+            yield both - second * PAIR, second
+
+
 class Tally:
     """Tokens seen and expected by row and child, over the rows of one task."""
 
@@ -256,18 +374,21 @@ class Tally:
                 for seen, r in zip(self.seen, rows, strict=True):
                     np.add.at(seen, r * WIDE + child, 1)
                 continue
-            columns = np.empty((WIDE, len(node)))
+            columns = np.empty((HALF, len(node)))  # two children share a float
             for at in range(0, len(node), PART):
                 part = slice(at, at + PART)
                 p = shares(self.model, node[part], [r[part] for r in rows])
                 p *= STEP / p.sum(axis=1, keepdims=True)
-                columns[:, part] = np.rint(p, out=p).T
-            for own, column in enumerate(columns):
-                for expected, r in zip(self.expected, rows, strict=True):
-                    if n > 2 * len(r):
-                        np.add.at(expected[own], r, column)
-                    else:
-                        expected[own] += np.bincount(r, column, n)
+                np.rint(p, out=p)
+                columns[:, part] = (p[:, :HALF] + np.multiply(p[:, HALF:], PAIR, dtype=np.float64)).T
+            for expected, r in zip(self.expected, rows, strict=True):
+                number = np.bincount(r, minlength=n)
+                often = number.max() >= OFTEN
+                used = np.flatnonzero(number)
+                number[used] = np.arange(len(used))
+                for own, sums in enumerate(pair_sums(columns, number[r], len(used), often)):
+                    for k, x in zip((own, own + HALF), sums, strict=True):
+                        expected[k][used] += x
 
     def blocks(self):
         """(number, bytes) of the parts that hold anything: what was seen in the first round, then what was expected."""
@@ -316,18 +437,10 @@ def tally(train: DataFrame, text_col: str, model: Model) -> list[np.ndarray]:
 
     def run(batches):
         known = sent.value
-        own, ids = Tally(known), known.ids()
-        held: list[list[bytes]] = []
-        size = 0
-        for batch in sliced(batches, 0):
-            for text in byte_texts(batch.column(0)):
-                held.append(tokens(text))
-                size += len(held[-1])
-                if size > 32 * BATCH:
-                    own.add(*laid_out(held, ids))
-                    held, size = [], 0
-        if held:
-            own.add(*laid_out(held, ids))
+        own, vocabulary = Tally(known), pa.array(known.words, pa.binary())
+        for texts in gathered(batches, 0):
+            words = split(texts)
+            own.add(*placed(words.ids(vocabulary), words.sizes))
         for number, data in own.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
 
@@ -406,36 +519,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(batches):
         known = sent.value
-        ids = known.ids()
+        vocabulary = pa.array(known.words, pa.binary())
         n_words = len(known.words)
         base_logs = np.log10(known.counts + 0.5) - whole
 
-        def some(batch, texts):
-            places, real = laid_out(texts, ids)
-            logs = log_probabilities(known, places, real)
-            own = places[real]
+        def some(batch):
+            words = split(batch.column(1))
+            own = words.ids(vocabulary)
+            logs = log_probabilities(known, *placed(own, words.sizes))
             inside = own < n_words
-            base = np.zeros(len(real))
+            base = np.zeros(len(own))
             if n_words:
                 base[inside] = base_logs[own[inside]]
             logs[~inside] -= known.bucket_logs[known.leaves(own[~inside]) - n_words]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            starts = np.cumsum(sizes) - sizes
-            cumulated = np.cumsum(~inside) - ~inside
-            outside = np.flatnonzero(~inside)
-            tails = []
-            for k, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-                lo = int(cumulated[a])
-                hi = lo + int((~inside[a : a + n]).sum())
-                tails.append(list(Counter(map(texts[k].__getitem__, (outside[lo:hi] - a).tolist())).items()))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+            starts = np.cumsum(words.sizes) - words.sizes
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(np.add.reduceat(inside.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts) / math.log(10)), pa.array([[{"word": w, "times": c} for w, c in x] for x in tails], kind)],
+                [batch.column(0), pa.array(words.sizes), pa.array(np.add.reduceat(inside.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts) / math.log(10)), times_in_texts(words, np.flatnonzero(~inside))],
                 names=["id", "n_tokens", "n_known", "base", "model", "tail"],
             )
 
-        for batch in sliced(batches, 1, 1 << 20):
-            yield some(batch, [tokens(x) for x in byte_texts(batch.column(1))])
+        for batch in sliced(batches, 1):
+            yield some(batch)
 
     kind = dict(docs.dtypes)[id_col]
     scored = on_texts(docs.select(F.col(id_col), F.col(text_col)), score, f"id {kind}, n_tokens long, n_known long, base double, model double, tail array<struct<word:binary,times:int>>")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialoom.llm import chat, decontaminate, html_text, language_model, licenses, neardup, packing, quality, sharding
@@ -308,6 +310,64 @@ def test_lm_later_round_is_run_and_raises_the_held_out_score(spark):
     assert held_out() > held_out(rounds=1) + 0.001
 
 
+def test_lm_takes_no_python_step_for_each_word(spark, monkeypatch):
+    runs = []
+    own = language_model.on_texts
+    monkeypatch.setattr(language_model, "on_texts", lambda df, run, *more: runs.append(run) or own(df, run, *more))
+    language_model.score_documents(documents(spark, [(k, f"aa bb {k}") for k in range(50)]), sizes=language_model.Sizes(16, 16, 1024)).count()
+    assert len(runs) == 4  # counts, the tallies of two rounds, scores
+
+    def calls(run, words):
+        row = {"doc_id": pa.array([1])} if run is runs[-1] else {}
+        batch = pa.RecordBatch.from_pydict(row | {"text": pa.array([" ".join(str(100000 + k) for k in range(words))])})
+        events = []
+        sys.setprofile(lambda frame, event, arg: events.append(event))
+        try:
+            for _ in run([batch]):
+                pass
+        finally:
+            sys.setprofile(None)
+        return len(events)
+
+    for run in runs:
+        calls(run, 10)
+        assert calls(run, 4000) < calls(run, 1000) + 1000
+
+
+def test_lm_words_by_bytes_are_those_of_plain_python():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"aZ \t\n\x0b\x0c\r\x1c\xc3\xa9\x00bq") for _ in range(rng.randrange(120))) for _ in range(300)]
+    texts += [None, b"", b" ", b"\n", *(b"Q" * k for k in range(70)), bytes(range(256)) * 2, b""]
+    plain = [language_model.tokens(x or b"") for x in texts]
+    column = pa.array([b"before", *texts], pa.binary())[1:]  # a slice, as batches have
+    words = language_model.split(column)
+    assert words.array().to_pylist() == [w for x in plain for w in x] and words.sizes.tolist() == list(map(len, plain))
+    model, _ = fitted(["q zz aa"] * 3 + ["bq"], language_model.Sizes(4, 16, 1024))
+    known = pa.array(model.words, pa.binary())
+    for a, b in zip(language_model.laid_out(plain, model.ids()), language_model.placed(words.ids(known), words.sizes), strict=True):
+        assert np.array_equal(a, b)
+    n = len(model.words)
+    which = np.flatnonzero(words.ids(known) >= n)
+    found = [{x["word"]: x["times"] for x in own} for own in language_model.times_in_texts(words, which).to_pylist()]
+    assert found == [Counter(w for w in x if w not in model.words) for x in plain]
+    assert len(language_model.split(pa.array([], pa.string())).sizes) == 0
+
+
+def test_lm_expected_tokens_of_rows_seen_very_often_are_exact():
+    model, _ = fitted(["aa bb aa"] * 20 + ["cc dd"], rounds=1)
+    texts = [[b"aa"] * (3 * language_model.OFTEN), [b"cc", b"dd"]]
+    places, real = language_model.laid_out(texts, model.ids())
+    tally = language_model.Tally(model)
+    tally.add(places, real)
+    _, node, _, rows = language_model.decisions(model, places, real)
+    p = language_model.shares(model, node, rows)
+    p *= language_model.STEP / p.sum(axis=1, keepdims=True)
+    for found, r in zip(tally.expected, rows, strict=True):
+        assert np.bincount(r).max() > language_model.OFTEN
+        for own, column in zip(found, np.rint(p).T, strict=True):
+            assert np.array_equal(own, np.bincount(r, column, model.rows))
+
+
 def fitted(texts, sizes=language_model.Sizes(64, 16, 1024), rounds=2):
     """The model of a list of texts, without Spark."""
     texts = [language_model.tokens(x.encode()) for x in texts]
